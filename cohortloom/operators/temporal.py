@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
-ID_SLICE = 1 << 16
+ID_SLICE_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -85,7 +85,7 @@ def _slice(moment: Column, data_type) -> Column:
         return F.unix_date(moment).cast("long")
     if isinstance(data_type, (TimestampType, TimestampNTZType)):
         return F.unix_date(moment.cast("date")).cast("long") * 24 + F.hour(moment)
-    return F.floor(moment / F.lit(ID_SLICE)).cast("long")
+    return F.shiftright(moment.cast("long"), ID_SLICE_BITS)
 
 
 def _keys(by) -> list[tuple[str, str]]:
@@ -438,7 +438,7 @@ def count_above_until(
     filed = (
         rights.join(hot_keys, "__k", "left_semi")
         .select("__k", "__r", "__t", *[f.name for f in folds], F.explode(levels).alias("__level"))
-        .withColumn("__node", F.call_function("shiftright", F.col("__r"), F.col("__level")))
+        .withColumn("__node", F.call_function("shiftright", F.col("__r").cast("long"), F.col("__level")))
         .where(F.col("__node") % 2 == 1)
     )
     questions = asks.join(hot_keys, "__k", "left_semi").withColumn("__level", F.explode(levels)).withColumn(
@@ -448,7 +448,7 @@ def count_above_until(
         ])),
     )
     questions = (
-        questions.withColumn("__own", F.call_function("shiftright", F.col("__lr"), F.col("__level")))
+        questions.withColumn("__own", F.call_function("shiftright", F.col("__lr").cast("long"), F.col("__level")))
         .where(F.col("__own") % 2 == 0)
         .select("__id", "__k", "__level", (F.col("__own") + 1).alias("__node"),
                 F.col("__q.limit").alias("__limit"), F.col("__q.until").alias("__until"))
