@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,8 @@ MATURITY_DAYS = 90
 def first_time_cohort(
     loans: DataFrame,
     product: str,
-    since: Column,
-    as_of: Column,
+    since: Column | date,
+    as_of: Column | date,
     maturity: DataFrame,
     maturity_days: int = MATURITY_DAYS,
     limit: int | None = None,
@@ -25,6 +27,7 @@ def first_time_cohort(
     ``maturity`` has (loan_id, matures_on); a loan counts once that day is
     ``maturity_days`` or more before ``as_of``. Output: loan_id, customer_id.
     """
+    as_of = F.lit(as_of)
     ripe = maturity.where(F.col("matures_on") <= F.date_sub(as_of, maturity_days)).select("loan_id")
     base = loans.where(F.col("base_loan_id").isNull())
     picked = (
@@ -62,8 +65,9 @@ def statement_maturity(statements: DataFrame) -> DataFrame:
     return statements.groupBy("loan_id").agg(F.min("due_date").cast("date").alias("matures_on"))
 
 
-def first_funded(loans: DataFrame, as_of: Column, months: int = 36) -> DataFrame:
+def first_funded(loans: DataFrame, as_of: Column | date, months: int = 36) -> DataFrame:
     """Each customer's lowest-id funded loan, if funded in the last ``months``."""
+    as_of = F.lit(as_of)
     funded = loans.where(F.col("status_cd").isin(*codes.FUNDED_STATUSES) & F.col("customer_id").isNotNull())
     first = first_per_key(funded, ["customer_id"], ["id"], ["funding_date_actual"])
     return first.where(F.col("funding_date_actual") >= F.add_months(as_of, -months)).select(

@@ -9,6 +9,7 @@ totals, and each row then spans the months up to the next one.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,13 +35,14 @@ def _running_by_month(
 
 
 # --- first platform ----------------------------------------------------------
-def cumulative_fee_curve(first: DataFrame, cash_flow: DataFrame, as_of: Column, months: int = 30) -> DataFrame:
+def cumulative_fee_curve(first: DataFrame, cash_flow: DataFrame, as_of: Column | date, months: int = 30) -> DataFrame:
     """Two running fee totals per customer and elapsed average month.
 
     ``first``: customer_id, loan_id, funding_date_actual. Final-status fees are
     all cash but reconciliations, in-flight fees are interest and misc fees of
     payments and reconciliations. Customers without cash flow have no rows.
     """
+    as_of = F.lit(as_of)
     flows = cash_flow.where(
         F.col("status_cd").isin(*codes.CASH_STATUSES)
         & F.col("sub_type_cd").isin(codes.PRINCIPAL_OUT, codes.PAYMENT, codes.RECONCILIATION)
@@ -89,7 +91,7 @@ def status_switched_fees(curve: DataFrame, loans: DataFrame, statuses: DataFrame
 # --- second platform ---------------------------------------------------------
 def second_platform_first_loan(
     loans: DataFrame, applications: DataFrame, statuses: DataFrame, identities: DataFrame,
-    first_platform_loans: DataFrame, as_of: Column,
+    first_platform_loans: DataFrame, as_of: Column | date,
 ) -> DataFrame:
     """One row per second-platform account: its first funded loan, matched to the
     customer's earliest loan on the first platform.
@@ -99,6 +101,7 @@ def second_platform_first_loan(
     loans are each reduced to their leaders before they meet, so no pairs of the
     two lists are made.
     """
+    as_of = F.lit(as_of)
     named = statuses.where(F.col("loan_status").isin(*codes.SECOND_LOAN_STATUSES))
     branded = applications.where(F.col("brand_id") == codes.SECOND_BRAND).select("loan_agreement_id")
     funded = loans.join(branded, ["loan_agreement_id"], "left_semi").join(named, ["loan_status_id"])
@@ -159,7 +162,7 @@ def _elapsed_months(as_of: Column, months: int) -> Column:
 
 
 def monthly_cashout(
-    accounts: DataFrame, loans: DataFrame, history: DataFrame, as_of: Column, months: int = 48
+    accounts: DataFrame, loans: DataFrame, history: DataFrame, as_of: Column | date, months: int = 48
 ) -> DataFrame:
     """Per account and elapsed calendar month since its start: cash lent so far,
     and discounted principal of loans in default by then.
@@ -168,6 +171,7 @@ def monthly_cashout(
     counts as defaulted from the later of that month and the month of its first
     default event.
     """
+    as_of = F.lit(as_of)
     owners = accounts.withColumns({"__start": _start(), "__last": _elapsed_months(as_of, months)}).where(
         F.col("__last") >= 1)
     lent = loans.where(F.col("loan_status_id").isin(*codes.SECOND_FUNDED_STATUS_IDS))
@@ -306,7 +310,7 @@ def second_platform_fees(net_cash: DataFrame) -> DataFrame:
 
 
 # --- both --------------------------------------------------------------------
-def merge_curves(first: DataFrame, second: DataFrame, cutoff: Column) -> DataFrame:
+def merge_curves(first: DataFrame, second: DataFrame, cutoff: Column | date) -> DataFrame:
     """All first-platform rows with the second platform's fees added, plus
     second-platform rows without a partner that start at or after ``cutoff``.
 
@@ -340,10 +344,11 @@ FEE_HORIZONS = {3: "three", 6: "six", 9: "nine", 12: "twelve", 15: "fifteen", 18
 
 
 def horizon_fee_lookup(
-    base: DataFrame, curve: DataFrame, as_of: Column, horizons: Sequence[int] = tuple(FEE_HORIZONS), wait: int = 3
+    base: DataFrame, curve: DataFrame, as_of: Column | date, horizons: Sequence[int] = tuple(FEE_HORIZONS), wait: int = 3
 ) -> DataFrame:
     """The customer's fees at fixed months, once the loan is ``wait`` months
     older than that. Two curve rows for one (customer, month) are an error."""
+    as_of = F.lit(as_of)
     wanted = curve.where(F.col("month_calculated").isin(*horizons))
     month = F.col("month_calculated")
     wide = wanted.groupBy(F.col("customer_id").alias("__c")).agg(

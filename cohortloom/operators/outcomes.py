@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,11 +78,12 @@ REPEAT_HORIZONS = {6: "six", 12: "twelve", 18: "eighteen"}
 
 
 def repeat_loan_counts(
-    base: DataFrame, loans: DataFrame, as_of: Column, horizons: Sequence[int] = tuple(REPEAT_HORIZONS),
+    base: DataFrame, loans: DataFrame, as_of: Column | date, horizons: Sequence[int] = tuple(REPEAT_HORIZONS),
     all_loans: bool = True, pair_limit: int = 256,
 ) -> DataFrame:
     """Later loans (by id) paid out within so many months, base loans and all;
     NULL until the horizon has passed."""
+    as_of = F.lit(as_of)
     funded = loans.where(~F.col("status_cd").isin(*codes.UNFUNDED_STATUSES)).select(
         F.col("id").alias("loan_id"), "customer_id", F.col("funding_date_actual").alias("__day"),
         F.col("base_loan_id").isNull().alias("__base"))
@@ -136,7 +138,7 @@ def expected_schedule(base: DataFrame, installments: DataFrame) -> DataFrame:
 
 
 def installment_performance(
-    base: DataFrame, installments: DataFrame, history: DataFrame, performance: DataFrame, as_of: Column,
+    base: DataFrame, installments: DataFrame, history: DataFrame, performance: DataFrame, as_of: Column | date,
     settled_days: int = SETTLED_DAYS,
 ) -> DataFrame:
     """Installment counts, early payoff, initial defaults by installment 1, 4 and
@@ -144,6 +146,7 @@ def installment_performance(
 
     ``base`` needs loan_id, loan_status, loan_amount.
     """
+    as_of = F.lit(as_of)
     bad_ids = codes.INSTALLMENT_DEFAULT_IDS
     went_bad = history.where(F.col("installment_status_id").isin(*bad_ids)).select(
         F.col("installments_static_id").alias("__i")).distinct()
@@ -203,9 +206,10 @@ def installment_performance(
 
 # --- line of credit ----------------------------------------------------------
 def statement_performance(
-    base: DataFrame, statements: DataFrame, transactions: DataFrame, as_of: Column, holidays=()
+    base: DataFrame, statements: DataFrame, transactions: DataFrame, as_of: Column | date, holidays=()
 ) -> DataFrame:
     """First statement: was a positive amount due and is it past; did it default."""
+    as_of = F.lit(as_of)
     first = first_per_key(
         statements, ["loan_id"], ["id"],
         ["due_date", "due_date_adjusted", "total_interest_due", "principal_due", "fees_due"],
@@ -221,12 +225,13 @@ def statement_performance(
         "statement_initial_default_flag")
 
 
-def withdrawal_stats(base: DataFrame, cash_flow: DataFrame, as_of: Column) -> DataFrame:
+def withdrawal_stats(base: DataFrame, cash_flow: DataFrame, as_of: Column | date) -> DataFrame:
     """Amount and number of withdrawals within 1, 3, 6 and 12 months and in all,
     and the cash booked up to and with the first withdrawal.
 
     ``base`` needs loan_id and funding_date_actual.
     """
+    as_of = F.lit(as_of)
     out = cash_flow.where(
         (F.col("sub_type_cd") == codes.PRINCIPAL_OUT)
         & (F.col("status_cd").isNull() | ~F.col("status_cd").isin(*codes.RETURNED_STATUSES)))
@@ -259,9 +264,10 @@ def withdrawal_stats(base: DataFrame, cash_flow: DataFrame, as_of: Column) -> Da
         *base.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
 
 
-def survival_stats(base: DataFrame, cash_flow: DataFrame, as_of: Column, active_months: int = 3) -> DataFrame:
+def survival_stats(base: DataFrame, cash_flow: DataFrame, as_of: Column | date, active_months: int = 3) -> DataFrame:
     """Last activity up to ``as_of``, days from funding to it, and whether the
     loan is still active. Missing types and statuses count as activity."""
+    as_of = F.lit(as_of)
     active = cash_flow.where(
         (F.col("eff_date") <= as_of)
         & (F.col("sub_type_cd").isNull() | F.col("sub_type_cd").isin(*codes.ACTIVITY_TYPES))

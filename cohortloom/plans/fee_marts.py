@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import date
+
+from pyspark.sql import DataFrame
 
 from cohortloom.operators import curves as C
 from cohortloom.operators.cohort import first_funded
 
 
-def customer_net_fees(sources, as_of: Column, customer_months: int = 36, curve_months: int = 30) -> DataFrame:
+def customer_net_fees(sources, as_of: date, customer_months: int = 36, curve_months: int = 30) -> DataFrame:
     """Fee curve of each customer whose first funded loan is recent enough."""
     first = first_funded(sources["loans"], as_of, customer_months)
     curve = C.cumulative_fee_curve(first, sources["cash_flow"], as_of, curve_months)
     return C.status_switched_fees(curve, sources["loans"], sources["loan_statuses"])
 
 
-def second_platform_net_fees(sources, as_of: Column, months: int = 48) -> DataFrame:
+def second_platform_net_fees(sources, as_of: date, months: int = 48) -> DataFrame:
     """Fee curve of each account of the second platform."""
     loans, statuses = sources["second_loans"], sources["second_loan_statuses"]
     accounts = C.second_platform_first_loan(
@@ -27,6 +29,6 @@ def second_platform_net_fees(sources, as_of: Column, months: int = 48) -> DataFr
     return C.second_platform_fees(net)
 
 
-def all_customer_net_fees(sources, as_of: Column, cutoff: Column) -> DataFrame:
+def all_customer_net_fees(sources, as_of: date, cutoff: date) -> DataFrame:
     """Both platforms in one curve per customer."""
     return C.merge_curves(customer_net_fees(sources, as_of), second_platform_net_fees(sources, as_of), cutoff)

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions import codes
@@ -54,7 +55,7 @@ class Product:
 
 
 # --- stage 1: spine ----------------------------------------------------------
-def build_spine(product: Product, sources, since: Column, as_of: Column, limit: int | None = None) -> DataFrame:
+def build_spine(product: Product, sources, since: date, as_of: date, limit: int | None = None) -> DataFrame:
     """Cohort loans with what was known at application: one row per loan."""
     loans = sources["loans"]
     cohort = K.first_time_cohort(loans, product.loan_type, since, as_of, product.maturity(sources), limit=limit)
@@ -165,19 +166,19 @@ def rate_stage(spine: DataFrame, reports: DataFrame, product: Product, sources)
 _OUTCOME_BASE = ("loan_id", "customer_id", "funding_date_actual", "loan_amount", "loan_status", "approval_amount")
 
 
-def payday_performance(base: DataFrame, sources, as_of: Column) -> DataFrame:
+def payday_performance(base: DataFrame, sources, as_of: date) -> DataFrame:
     base = base.withColumn("utilization_ratio", X.utilization_ratio(F.col("loan_amount"), F.col("approval_amount")))
     base = O.loan_performance_join(base, sources["payday_chains_performance"], sources["payday_loans_performance"])
     return O.repeat_loan_counts(base, sources["loans"], as_of)
 
 
-def installment_loan_performance(base: DataFrame, sources, as_of: Column) -> DataFrame:
+def installment_loan_performance(base: DataFrame, sources, as_of: date) -> DataFrame:
     base = O.installment_performance(base, sources["installments"], sources["installment_status_history"],
                                      sources["installment_loans_performance"], as_of)
     return O.repeat_loan_counts(base, sources["loans"], as_of, all_loans=False)
 
 
-def line_of_credit_performance(base: DataFrame, sources, as_of: Column) -> DataFrame:
+def line_of_credit_performance(base: DataFrame, sources, as_of: date) -> DataFrame:
     base = O.statement_performance(base, sources["statements"], sources["payment_transactions"], as_of)
     base = O.withdrawal_stats(base, sources["cash_flow"], as_of)
     base = O.survival_stats(base, sources["cash_flow"], as_of)
@@ -185,7 +186,7 @@ def line_of_credit_performance(base: DataFrame, sources, as_of: Column) -> DataF
     return O.payback_ratio(base, sources["statement_performance"])
 
 
-def outcome_stage(spine: DataFrame, product: Product, sources, as_of: Column) -> DataFrame:
+def outcome_stage(spine: DataFrame, product: Product, sources, as_of: date) -> DataFrame:
     base = product.performance(spine.select(*_OUTCOME_BASE), sources, as_of)
     base = C.horizon_fee_lookup(base, sources["all_customer_net_fees"], as_of, product.fee_horizons)
     return base.drop(*[c for c in _OUTCOME_BASE if c != "loan_id"])
@@ -193,7 +194,7 @@ def outcome_stage(spine: DataFrame, product: Product, sources, as_of: Column) ->
 
 # --- all ---------------------------------------------------------------------
 def build_model_table(
-    product: Product, sources, since: Column, as_of: Column, limit: int | None = None, stage: bool = True
+    product: Product, sources, since: date, as_of: date, limit: int | None = None, stage: bool = True
 ) -> DataFrame:
     """The complete table, one row per cohort loan.
 

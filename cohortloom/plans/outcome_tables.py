@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import date
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions import codes
@@ -43,7 +45,7 @@ def _result(rows: DataFrame, day: str, first: list[str], flags: list[str]) -> Da
 _LOAN_COLUMNS = ["loan_id", "customer_id", "requested_time", "funding_date_actual", "gov_law_state_cd"]
 
 
-def payday_outcomes(sources, low: Column, high: Column, loan_type: str = "payday") -> DataFrame:
+def payday_outcomes(sources, low: date, high: date, loan_type: str = "payday") -> DataFrame:
     """Default and extension flags by loan due date."""
     rows = _funded_base_loans(sources["loans"], loan_type).where(F.col("due_date_adjusted").between(low, high))
     rows = _segments(rows.select(*_LOAN_COLUMNS, "due_date_adjusted"), sources)
@@ -52,7 +54,7 @@ def payday_outcomes(sources, low: Column, high: Column, loan_type: str = "payday
     return _result(rows, "due_date_adjusted", [], ["initial_default_flg", "extended_flg"])
 
 
-def installment_outcomes(sources, low: Column, high: Column, loan_type: str = "installment") -> DataFrame:
+def installment_outcomes(sources, low: date, high: date, loan_type: str = "installment") -> DataFrame:
     """Default flag of the first installment, by its due date."""
     first = first_per_key(
         sources["installments"].where(F.col("installment_number") == 1), ["loan_id"], ["id"], ["due_date"],
@@ -66,7 +68,7 @@ def installment_outcomes(sources, low: Column, high: Column, loan_type: str = "i
 
 
 def line_of_credit_outcomes(
-    sources, low: Column, high: Column, loan_type: str = "oec", holidays=()
+    sources, low: date, high: date, loan_type: str = "oec", holidays=()
 ) -> DataFrame:
     """Default flag of the first statement, by its due date."""
     first = first_per_key(sources["statements"], ["loan_id"], ["id"], ["due_date", "due_date_adjusted"]).select(
