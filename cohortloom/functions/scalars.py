@@ -74,7 +74,8 @@ def average_month_date(start: Column, months: Column) -> Column:
 
 def average_month_bucket(days: Column) -> Column:
     """First month number (1 or more) whose end is at or past ``days``."""
-    return F.greatest(F.lit(1), F.ceil(days / F.lit(codes.MONTH_DAYS))).cast("int")
+    # greatest() skips NULLs, so a missing day count must be kept out of it.
+    return F.when(days.isNotNull(), F.greatest(F.lit(1), F.ceil(days / F.lit(codes.MONTH_DAYS)))).cast("int")
 
 
 def elapsed_average_months(days: Column) -> Column:
@@ -84,9 +85,8 @@ def elapsed_average_months(days: Column) -> Column:
 def calendar_month_bucket(start: Column, d: Column) -> Column:
     """Smallest m >= 1 with ``add_months(start, m) >= d``."""
     apart = (F.year(d) - F.year(start)) * 12 + F.month(d) - F.month(start)
-    return F.greatest(
-        F.lit(1), F.when(F.add_months(start, apart) >= d, apart).otherwise(apart + 1)
-    ).cast("int")
+    month = F.when(F.add_months(start, apart) >= d, apart).otherwise(apart + 1)
+    return F.when(apart.isNotNull(), F.greatest(F.lit(1), month)).cast("int")
 
 
 def add_business_days(d: Column, n: int, holidays: Sequence[date] = ()) -> Column:

@@ -158,7 +158,8 @@ def _elapsed_months(as_of: Column, months: int) -> Column:
     """How many whole calendar months after the start are over by ``as_of``."""
     start = _start()
     apart = (F.year(as_of) - F.year(start)) * 12 + F.month(as_of) - F.month(start)
-    return F.least(F.lit(months), F.when(F.add_months(start, apart) <= as_of, apart).otherwise(apart - 1)).cast("int")
+    over = F.when(F.add_months(start, apart) <= as_of, apart).otherwise(apart - 1)
+    return F.when(start.isNotNull(), F.least(F.lit(months), over)).cast("int")
 
 
 def monthly_cashout(
@@ -314,8 +315,8 @@ def merge_curves(first: DataFrame, second: DataFrame, cutoff: Column | date) ->
     """All first-platform rows with the second platform's fees added, plus
     second-platform rows without a partner that start at or after ``cutoff``.
 
-    Written as matched, left-only and right-only parts rather than a full outer
-    join: each part lets Spark split a hot customer, a full outer join does not.
+    Written as two left-side joins rather than a full outer join: Spark can split
+    a hot customer on the left of these, and cannot in a full outer join.
     """
     first = first.select("customer_id", "first_funded_loan_id", "first_funding_date_actual", "month_calculated",
                          F.col("net_fees").alias("__f"))
@@ -323,13 +324,11 @@ def merge_curves(first: DataFrame, second: DataFrame, cutoff: Column | date) ->
         F.col("customer_id").alias("__c"), F.col("mon").alias("__m"), "account_id", "second_first_funded_loan_id",
         "second_first_funding", "true_first_funding", "state", F.col("net_fees").alias("__s"))
     on = (F.col("customer_id") == F.col("__c")) & (F.col("month_calculated") == F.col("__m"))
-    matched = first.join(second, on)
+    # A customer and month occur once in the first curve.
+    second_side = second.join(first, on, "left").where(
+        F.col("customer_id").isNotNull() | (F.col("true_first_funding").cast("date") >= cutoff))
     first_only = first.join(second.select("__c", "__m").distinct(), on, "left_anti")
-    second_only = (
-        second.where(F.col("true_first_funding").cast("date") >= cutoff)
-        .join(first.select("customer_id", "month_calculated").distinct(), on, "left_anti")
-    )
-    both = matched.unionByName(first_only, allowMissingColumns=True).unionByName(second_only, allowMissingColumns=True)
+    both = second_side.unionByName(first_only, allowMissingColumns=True)
     fees = F.when(F.col("__f").isNotNull() | F.col("__s").isNotNull(),
                   F.coalesce("__f", F.lit(0)) + F.coalesce("__s", F.lit(0)))
     return both.select(

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import codes
 from cohortloom.functions import scalars as S
-from cohortloom.operators.quality import expect_one
 
 
 @dataclass(frozen=True)
@@ -33,39 +32,58 @@ class ReportSpec:
         return out
 
 
-def attach(
-    base: DataFrame, table: DataFrame, key: str, table_key: str, columns: Sequence[Column], what: str,
-    anchor: str = "loan_id",
-) -> DataFrame:
-    """Left-join columns of a table by key, keeping every base row.
+def gather(base: DataFrame, parts: Sequence[DataFrame], anchor: str = "loan_id") -> DataFrame:
+    """Base rows with the columns of every part that shares their anchor.
+
+    A chain of joins on one key would hold a sort per part in a single task. All
+    rows go through one union, one shuffle on the anchor and one grouped pass
+    instead, each part travelling as one struct. Two rows of a part for an
+    anchor are an error; an anchor without a part's row gets NULLs.
+    """
+    everything = [base, *parts]
+    fields = [[c for c in df.columns if c != anchor] for df in everything]
+    rows = None
+    for i, (df, columns) in enumerate(zip(everything, fields)):
+        piece = df.select(F.col(anchor).alias("__k"), F.struct(*columns).alias(f"__p{i}"))
+        rows = piece if rows is None else rows.unionByName(piece, allowMissingColumns=True)
+    grouped = rows.groupBy("__k").agg(
+        *[F.first(f"__p{i}", ignorenulls=True).alias(f"__p{i}") for i in range(len(everything))],
+        *[F.count(f"__p{i}").alias(f"__n{i}") for i in range(len(everything))],
+    )
+    worst = F.greatest(*[F.col(f"__n{i}") for i in range(len(everything))], F.lit(0))
+    message = F.concat(F.lit(f"more than one row to attach for {anchor} "), F.col("__k").cast("string"))
+    kept = F.when(worst > 1, F.raise_error(message).cast("boolean")).otherwise(F.col("__n0") == 1)
+    return grouped.where(kept).select(
+        F.col("__k").alias(anchor),
+        *[F.col(f"__p{i}.`{c}`").alias(c) for i, columns in enumerate(fields) for c in columns],
+    )
+
+
+def pick(base: DataFrame, table: DataFrame, key: str, table_key: str, columns: Sequence[Column],
+         anchor: str = "loan_id") -> DataFrame:
+    """(anchor, columns) of the table's rows that the base refers to by key.
 
     Only the pairs (anchor, key) meet the table, in an inner join: its small side
     can be broadcast once its size is known, or prune the table's scan, neither
-    of which a left join from the base allows. The result returns to the base on
-    the anchor. Missing keys never enter a join; a key with two rows is an error.
+    of which a left join from the base allows. Missing keys never enter it.
     """
-    picked = (
+    return (
         base.where(F.col(key).isNotNull())
         .select(F.col(anchor).alias("__anchor"), F.col(key).alias("__key"))
         .join(table.select(F.col(table_key).alias("__id"), *columns), F.col("__key") == F.col("__id"))
         .drop("__key", "__id")
+        .withColumnRenamed("__anchor", anchor)
     )
-    picked = expect_one(picked, ["__anchor"], what)
-    return base.join(picked, base[anchor] == picked["__anchor"], "left").drop("__anchor")
 
 
 def report_star(base: DataFrame, sources, specs: Sequence[ReportSpec], anchor: str = "loan_id") -> DataFrame:
     """Attach many wide reports, each by its own key, and keep every base row.
 
     Joining the growing base to one report after another would shuffle hundreds
-    of columns once per report. With ``attach`` all results meet the base on the
-    anchor, over one shared partitioning.
+    of columns once per report. Each report's columns move once here.
     """
-    out = base
-    for spec in specs:
-        report = sources[spec.table]
-        out = attach(out, report, spec.key, spec.id, spec.output(report), f"report {spec.table}", anchor)
-    return out
+    picks = [pick(base, sources[s.table], s.key, s.id, s.output(sources[s.table]), anchor) for s in specs]
+    return gather(base, picks, anchor)
 
 
 def code_flags(df: DataFrame, column: str, wanted: Sequence[str], mode: str, prefix: str | None = None) -> DataFrame:

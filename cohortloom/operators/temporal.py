@@ -343,32 +343,18 @@ def negated_nulls_first(c: Column) -> list[Column]:
 
 
 def value_as_of(
-    left: DataFrame,
-    log: DataFrame,
-    by: dict[str, str],
-    at: Column,
-    current: dict[str, tuple[str, str]],
-    table: str,
+    left: DataFrame, log: DataFrame, by: dict[str, str], at: Column, columns: Sequence[str], table: str
 ) -> DataFrame:
-    """Values of tracked columns at a moment, rebuilt from a change log.
-
-    ``current`` maps output name -> (tracked column, left column with today's
-    value). The value at a moment is the old value of the lowest-id change after
-    it, or today's value when there is none or the old value is NULL. One pass
-    over the log serves all columns.
+    """What a change log says tracked columns held at a moment: the old value of
+    the lowest-id change after it, as ``{column}_before``. It is NULL when there
+    is no such change or its old value is NULL; today's value holds then, so the
+    caller writes ``coalesce(email_before, email)``. One pass over the log serves
+    all columns.
     """
-    tracked = [column for column, _ in current.values()]
-    changes = log.where((F.col("table_name") == table) & F.col("column_name").isin(tracked))
-    folds = [
-        pick_min(f"__c{i}", "id", ["old_value"], F.col("column_name") == column)
-        for i, column in enumerate(tracked)
-    ]
+    changes = log.where((F.col("table_name") == table) & F.col("column_name").isin(*columns))
+    folds = [pick_min(f"__c_{c}", "id", ["old_value"], F.col("column_name") == c) for c in columns]
     found = lookup(left, changes, by, at, F.col("change_time"), folds, side="after")
-    values = {
-        out: F.coalesce(F.col(f"__c{i}.old_value"), F.col(today))
-        for i, (out, (_, today)) in enumerate(current.items())
-    }
-    return found.withColumns(values).drop(*[f"__c{i}" for i in range(len(tracked))])
+    return found.select(*left.columns, *[F.col(f"__c_{c}.old_value").alias(f"{c}_before") for c in columns])
 
 
 def first_event_within(

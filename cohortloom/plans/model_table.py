@@ -23,8 +23,9 @@ from cohortloom.operators import features as X
 from cohortloom.operators import outcomes as O
 from cohortloom.operators import rates as R
 from cohortloom.operators.leads import earlier_days, earlier_leads, lead_flags
-from cohortloom.operators.temporal import first_event_within, first_per_key, lookup, pick_max, value_as_of
+from cohortloom.operators.temporal import first_event_within, lookup, pick_max, value_as_of
 from cohortloom.plans.reports import REPORT_KEYS, REPORTS
+from cohortloom.sources.stages import no_stage
 from cohortloom.sources.stages import stage as write_stage
 
 APPROVAL_COLUMNS = (
@@ -46,7 +47,7 @@ class Product:
     outcome_table: str
     outcome_day: str
     outcome_flags: dict[str, str]  # rate name -> outcome column
-    performance: Callable[..., DataFrame]
+    performance: Callable[..., list[DataFrame]]
     loan_columns: Sequence[str] = ()
     scores: dict[str, str] = field(default_factory=dict)  # output -> long-term result column
     fee_horizons: Sequence[int] = (6, 9, 12, 15, 18)
@@ -55,48 +56,56 @@ class Product:
 
 
 # --- stage 1: spine ----------------------------------------------------------
-def build_spine(product: Product, sources, since: date, as_of: date, limit: int | None = None) -> DataFrame:
-    """Cohort loans with what was known at application: one row per loan."""
+def _with_approval(product: Product, sources, since: date, as_of: date, limit: int | None) -> DataFrame:
+    """Cohort loans with the latest earlier approval of a new customer."""
     loans = sources["loans"]
     cohort = K.first_time_cohort(loans, product.loan_type, since, as_of, product.maturity(sources), limit=limit)
     base = loans.join(cohort.select("loan_id"), F.col("id") == F.col("loan_id"), "left_semi").select(
         F.col("id").alias("loan_id"), "customer_id", "requested_time", "funding_date_actual", *product.loan_columns,
         F.col("amount").alias("loan_amount"), F.col("status_cd").alias("loan_status"),
         F.col("gov_law_state_cd").alias("state"))
-    base = lookup(base, sources["approvals"], "customer_id", F.col("requested_time"), F.col("processed_on"),
-                  [pick_max("a", "id", APPROVAL_COLUMNS)], "before")
-    base = base.where(~F.col("a.existing_flg"))
+    found = lookup(base, sources["approvals"], "customer_id", F.col("requested_time"), F.col("processed_on"),
+                   [pick_max("a", "id", APPROVAL_COLUMNS)], "before").where(~F.col("a.existing_flg"))
     pre_approved = (F.col("a.profitability_rate") == 1) | (F.col("a.reason_cd") == "pre-approved") | F.col("a.pre_approved_flg")
-    base = base.select(
-        *[c for c in base.columns if c != "a"], F.col("a.id").alias("approval_id"),
-        F.col("a.processed_on").alias("approval_processed"), F.col("a.amount").alias("approval_amount"),
-        F.col("a.default_rate").alias("app_default_rate"), F.col("a.credit_score").alias("app_credit_score"),
-        F.col("a.profitability_rate").alias("app_profitability_rate"), S.flag(pre_approved).alias("pre_approved_flg"),
-        F.col("a.long_term_result_id").alias("__ltr"), *[F.col(f"a.{k}").alias(k) for k in REPORT_KEYS])
+    return found.select(
+        *base.columns, F.col("a.id").alias("approval_id"), F.col("a.processed_on").alias("approval_processed"),
+        F.col("a.amount").alias("approval_amount"), F.col("a.default_rate").alias("app_default_rate"),
+        F.col("a.credit_score").alias("app_credit_score"), F.col("a.profitability_rate").alias("app_profitability_rate"),
+        S.flag(pre_approved).alias("pre_approved_flg"), F.col("a.long_term_result_id").alias("__ltr"),
+        *[F.col(f"a.{k}").alias(k) for k in REPORT_KEYS])
 
-    if product.scores:
-        base = X.attach(base, sources["long_term_results"], "__ltr", "id",
-                        [F.col(c).alias(out) for out, c in product.scores.items()], "long-term results")
+
+def build_spine(
+    product: Product, sources, since: date, as_of: date, limit: int | None = None, keep=no_stage
+) -> DataFrame:
+    """Cohort loans with what was known at application: one row per loan."""
+    base = keep(_with_approval(product, sources, since, as_of, limit), "approved")
     application = sources["applications"].groupBy(F.col("loan_id").alias("__al")).agg(
         F.max("application_id").alias("application_id"))
-    base = X.attach(base, application, "loan_id", "__al", [F.col("application_id")], "applications")
-    base = X.attach(base, sources["customers"], "customer_id", "id",
-                    [F.col("id").alias("__known"), F.col("person_id"), F.col("created_on").alias("customer_created")],
-                    "customers").where(F.col("__known").isNotNull())
+    customer = [F.col("id").alias("__known"), F.col("person_id"), F.col("created_on").alias("customer_created")]
+    asked, by = base.select("loan_id", "customer_id", "approval_processed"), {"customer_id": "customer_id"}
+    at = F.col("approval_processed")
+    shortly_before = at - F.expr("interval 3 days")
+    parts = [
+        X.pick(base, application, "loan_id", "__al", [F.col("application_id")]),
+        X.pick(base, sources["customers"], "customer_id", "id", customer),
+        earlier_days(asked, sources["approvals"], by, shortly_before, "processed_on",
+                     "previous_application_count_dist_day"),
+        earlier_leads(asked, sources["customer_sources"], by, shortly_before,
+                      "previous_customer_sources_count_dist_day", "previously_purchased_count"),
+        lead_flags(asked, sources["customer_sources"], by, at),
+    ]
+    parts[2:] = [p.drop("customer_id", "approval_processed") for p in parts[2:]]
+    if product.scores:
+        scores = [F.col(c).alias(out) for out, c in product.scores.items()]
+        parts.append(X.pick(base, sources["long_term_results"], "__ltr", "id", scores))
     if product.first_statement:
         first = sources["statements"].groupBy(F.col("loan_id").alias("__sl")).agg(F.min("id").alias("first_statement_id"))
-        base = X.attach(base, first, "loan_id", "__sl", [F.col("first_statement_id")], "statements")
+        parts.append(X.pick(base, first, "loan_id", "__sl", [F.col("first_statement_id")]))
     if product.schedule:
-        base = O.expected_schedule(base, sources["installments"])
-
-    by = {"customer_id": "customer_id"}
-    shortly_before = F.col("approval_processed") - F.expr("interval 3 days")
-    base = earlier_days(base, sources["approvals"], by, shortly_before, "processed_on",
-                        "previous_application_count_dist_day")
-    base = earlier_leads(base, sources["customer_sources"], by, shortly_before,
-                         "previous_customer_sources_count_dist_day", "previously_purchased_count")
-    base = lead_flags(base, sources["customer_sources"], by, F.col("approval_processed"))
-    return base.drop("__ltr", "__known")
+        dated = O.expected_schedule(base.select("loan_id", "funding_date_actual"), sources["installments"])
+        parts.append(dated.drop("funding_date_actual"))
+    return X.gather(base, parts).where(F.col("__known").isNotNull()).drop("__ltr", "__known")
 
 
 # --- stages 2 and 3: reports and codes --------------------------------------
@@ -111,38 +120,42 @@ def report_stage(spine: DataFrame, sources) -> DataFrame:
 def feature_stage(spine: DataFrame, sources) -> DataFrame:
     at = F.col("approval_processed")
     base = spine.select("loan_id", "customer_id", "person_id", "application_id", "approval_processed", "customer_created")
-    base = X.attach(base, sources["customers"], "customer_id", "id",
-                    [F.col(c).alias(f"__now_{c}") for c in ("email", "income_type_cd", "income_payment_cd")], "customers")
-    base = X.attach(base, sources["people"], "person_id", "id",
-                    [F.col(c) for c in ("birth_date", "first_name", "last_name")], "people")
-    base = X.attach(base, sources["application_address"], "application_id", "application_id",
-                    [F.col("address_id")], "application addresses")
-    base = X.attach(base, sources["addresses"], "address_id", "id", [F.col(c) for c in ("line1", "city", "zip")], "addresses")
-    base = X.attach(base, sources["counties"], "zip", "zip", [F.col("gmt")], "counties")
-    base = X.attach(base, sources["application_income"], "application_id", "application_id",
-                    [F.col(c) for c in ("paychecks_per_year", "income_freq_type_cd", "income_monthly_net")],
-                    "application income")
-    tracked = ("email", "income_type_cd", "income_payment_cd")
-    base = value_as_of(base, sources["data_changes"], {"customer_id": "record_id"}, at,
-                       {c: (c, f"__now_{c}") for c in tracked}, "customers")
-    day = at.cast("date")
-    base = first_event_within(base, sources["customer_paydates"], {"customer_id": "customer_id"}, day, "next_paydate",
-                              F.date_add(day, 35), "__payday", side="after")
-    base = lookup(base, sources["bank_accounts"], "person_id", at, F.col("created_on"),
+    now = [F.col(c).alias(f"__now_{c}") for c in ("email", "income_type_cd", "income_payment_cd")]
+    person = [F.col(c) for c in ("birth_date", "first_name", "last_name")]
+    pay = [F.col(c) for c in ("paychecks_per_year", "income_freq_type_cd", "income_monthly_net")]
+    # The address chain stays narrow: application -> address -> county.
+    address_ids = X.pick(base, sources["application_address"], "application_id", "application_id", [F.col("address_id")])
+    address = X.pick(address_ids, sources["addresses"], "address_id", "id", [F.col(c) for c in ("line1", "city", "zip")])
+    bank = lookup(base, sources["bank_accounts"], "person_id", at, F.col("created_on"),
                   [pick_max("__bank", ["created_on", "payment_instrument_id"], ["routing_number"])], "until")
-    base = base.withColumn("__routing", F.col("__bank.routing_number"))
-    base = R.month_rate_join(base, sources["bank_bad_rates"], F.col("__routing"), at,
-                             "routing_num", "bank_bad_rate_month", BANK_RATE_COLUMNS)
-    base = X.calendar_features(base, "approval_processed", "gmt")
-    base = X.contact_features(base, "email", "approval_processed", "birth_date", "first_name", "last_name", "line1", "city")
-    base = base.withColumns({
-        "days_before_next_payday": F.datediff(F.col("__payday.next_paydate"), day),
+    bank = bank.select("loan_id", "approval_processed", F.col("__bank.routing_number").alias("__routing"))
+    bank = R.month_rate_join(bank, sources["bank_bad_rates"], F.col("__routing"), at, "routing_num",
+                             "bank_bad_rate_month", BANK_RATE_COLUMNS).drop("approval_processed", "__routing")
+    day = at.cast("date")
+    payday = first_event_within(base, sources["customer_paydates"], {"customer_id": "customer_id"}, day, "next_paydate",
+                                F.date_add(day, 35), "__payday", side="after")
+    tracked = ("email", "income_type_cd", "income_payment_cd")
+    changed = value_as_of(base, sources["data_changes"], {"customer_id": "record_id"}, at, tracked, "customers")
+    out = X.gather(base, [
+        X.pick(base, sources["customers"], "customer_id", "id", now),
+        X.pick(base, sources["people"], "person_id", "id", person),
+        X.pick(base, sources["application_income"], "application_id", "application_id", pay),
+        address,
+        X.pick(address, sources["counties"], "zip", "zip", [F.col("gmt")]),
+        bank,
+        payday.select("loan_id", F.datediff("__payday.next_paydate", day).alias("days_before_next_payday")),
+        changed.select("loan_id", *[F.col(f"{c}_before").alias(f"__old_{c}") for c in tracked]),
+    ])
+    out = out.withColumns({
+        **{c: F.coalesce(f"__old_{c}", f"__now_{c}") for c in tracked},
         "customer_vintage_months": X.vintage_months(at, F.col("customer_created")),
     })
-    base = X.income_features(base, "income_monthly_net", "paychecks_per_year")
+    out = X.calendar_features(out, "approval_processed", "gmt")
+    out = X.contact_features(out, "email", "approval_processed", "birth_date", "first_name", "last_name", "line1", "city")
+    out = X.income_features(out, "income_monthly_net", "paychecks_per_year")
     helpers = ("customer_id", "person_id", "application_id", "approval_processed", "customer_created", "birth_date",
-               "first_name", "last_name", "address_id", "line1", "city", "zip", "gmt", "__payday", "__bank", "__routing")
-    return base.drop(*helpers, *[f"__now_{c}" for c in tracked])
+               "first_name", "last_name", "line1", "city", "zip", "gmt")
+    return out.drop(*helpers, *[f"__{w}_{c}" for w in ("now", "old") for c in tracked])
 
 
 # --- stage 5: rates ----------------------------------------------------------
@@ -166,30 +179,37 @@ def rate_stage(spine: DataFrame, reports: DataFrame, product: Product, sources)
 _OUTCOME_BASE = ("loan_id", "customer_id", "funding_date_actual", "loan_amount", "loan_status", "approval_amount")
 
 
-def payday_performance(base: DataFrame, sources, as_of: date) -> DataFrame:
-    base = base.withColumn("utilization_ratio", X.utilization_ratio(F.col("loan_amount"), F.col("approval_amount")))
-    base = O.loan_performance_join(base, sources["payday_chains_performance"], sources["payday_loans_performance"])
-    return O.repeat_loan_counts(base, sources["loans"], as_of)
+def payday_performance(base: DataFrame, sources, as_of: date) -> list[DataFrame]:
+    used = base.withColumn("utilization_ratio", X.utilization_ratio(F.col("loan_amount"), F.col("approval_amount")))
+    return [
+        O.loan_performance_join(used, sources["payday_chains_performance"], sources["payday_loans_performance"]),
+        O.repeat_loan_counts(base, sources["loans"], as_of),
+    ]
 
 
-def installment_loan_performance(base: DataFrame, sources, as_of: date) -> DataFrame:
-    base = O.installment_performance(base, sources["installments"], sources["installment_status_history"],
-                                     sources["installment_loans_performance"], as_of)
-    return O.repeat_loan_counts(base, sources["loans"], as_of, all_loans=False)
+def installment_loan_performance(base: DataFrame, sources, as_of: date) -> list[DataFrame]:
+    return [
+        O.installment_performance(base, sources["installments"], sources["installment_status_history"],
+                                  sources["installment_loans_performance"], as_of),
+        O.repeat_loan_counts(base, sources["loans"], as_of, all_loans=False),
+    ]
 
 
-def line_of_credit_performance(base: DataFrame, sources, as_of: date) -> DataFrame:
-    base = O.statement_performance(base, sources["statements"], sources["payment_transactions"], as_of)
-    base = O.withdrawal_stats(base, sources["cash_flow"], as_of)
-    base = O.survival_stats(base, sources["cash_flow"], as_of)
-    base = O.first_payback(base, sources["cash_flow"])
-    return O.payback_ratio(base, sources["statement_performance"])
+def line_of_credit_performance(base: DataFrame, sources, as_of: date) -> list[DataFrame]:
+    return [
+        O.statement_performance(base, sources["statements"], sources["payment_transactions"], as_of),
+        O.withdrawal_stats(base, sources["cash_flow"], as_of),
+        O.survival_stats(base, sources["cash_flow"], as_of),
+        O.first_payback(base, sources["cash_flow"]),
+        O.payback_ratio(base, sources["statement_performance"]),
+    ]
 
 
-def outcome_stage(spine: DataFrame, product: Product, sources, as_of: date) -> DataFrame:
-    base = product.performance(spine.select(*_OUTCOME_BASE), sources, as_of)
-    base = C.horizon_fee_lookup(base, sources["all_customer_net_fees"], as_of, product.fee_horizons)
-    return base.drop(*[c for c in _OUTCOME_BASE if c != "loan_id"])
+def outcome_parts(spine: DataFrame, product: Product, sources, as_of: date) -> list[DataFrame]:
+    base = spine.select(*_OUTCOME_BASE)
+    fees = C.horizon_fee_lookup(base, sources["all_customer_net_fees"], as_of, product.fee_horizons)
+    known = [c for c in _OUTCOME_BASE if c != "loan_id"]
+    return [part.drop(*known) for part in (*product.performance(base, sources, as_of), fees)]
 
 
 # --- all ---------------------------------------------------------------------
@@ -202,18 +222,15 @@ def build_model_table(
     ``all_customer_net_fees``, which are marts of their own. With ``stage`` the
     spine and the reports, which several stages read, are written once.
     """
-    keep = write_stage if stage else (lambda df, name: df)
-    spine = keep(build_spine(product, sources, since, as_of, limit), "spine")
+    keep = write_stage if stage else no_stage
+    spine = keep(build_spine(product, sources, since, as_of, limit, keep), "spine")
     reports = keep(report_stage(spine, sources), "reports")
-    out = spine.drop("person_id")
-    for part in (
+    return X.gather(spine.drop("person_id"), [
         reports,
         feature_stage(spine, sources),
         rate_stage(spine, reports, product, sources),
-        outcome_stage(spine, product, sources, as_of),
-    ):
-        out = out.join(part, "loan_id")
-    return out
+        *outcome_parts(spine, product, sources, as_of),
+    ])
 
 
 PAYDAY = Product(

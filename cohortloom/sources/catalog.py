@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,15 +12,18 @@ from pyspark.sql.types import StructType
 
 
 class Catalog:
-    """``{logical name -> DataFrame}`` with a clear error for a missing table."""
+    """``{logical name -> DataFrame}``; a loader in its place runs on first use."""
 
-    def __init__(self, tables: Mapping[str, DataFrame]):
+    def __init__(self, tables: Mapping[str, DataFrame | Callable[[], DataFrame]]):
         self._tables = dict(tables)
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._tables:
             raise KeyError(f"table {name!r} is not in the catalog; known: {sorted(self._tables)}")
-        return self._tables[name]
+        table = self._tables[name]
+        if not isinstance(table, DataFrame):
+            table = self._tables[name] = table()
+        return table
 
     def __contains__(self, name: str) -> bool:
         return name in self._tables
@@ -30,7 +34,7 @@ class Catalog:
 
 def parquet_catalog(spark: SparkSession, folder: str, names: list[str]) -> Catalog:
     """One parquet path per table; column pruning and filters reach the scan."""
-    return Catalog({n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names})
+    return Catalog({n: partial(spark.read.parquet, f"{folder}/{n}.parquet") for n in names})
 
 
 def declared(df: DataFrame, schema: StructType) -> DataFrame:

@@ -21,6 +21,7 @@ from cohortloom.operators.quality import drift_report
 from cohortloom.plans import fee_marts, model_table, outcome_tables
 from cohortloom.plans.reports import REPORTS
 from cohortloom.session import configure
+from cohortloom.sources.stages import stage
 from registry.edge import plain
 from registry.views import catalog, raw
 
@@ -134,9 +135,8 @@ def value_as_of(spark, folder):
         s["customers"].select(F.col("id").alias("__c"), "email", "income_type_cd", "income_payment_cd"),
         F.col("customer_id") == F.col("__c"))
     tracked = ("email", "income_type_cd", "income_payment_cd")
-    found = T.value_as_of(base, s["data_changes"], {"customer_id": "record_id"}, F.col("processed_on"),
-                          {f"{c}_then": (c, c) for c in tracked}, "customers")
-    return found.select("id", *[f"{c}_then" for c in tracked])
+    found = T.value_as_of(base, s["data_changes"], {"customer_id": "record_id"}, F.col("processed_on"), tracked, "customers")
+    return found.select("id", *[F.coalesce(f"{c}_before", c).alias(f"{c}_then") for c in tracked])
 
 
 @query
@@ -194,10 +194,11 @@ def calendar_features(spark, folder):
 def contact_features(spark, folder):
     s = catalog(spark, folder)
     base = s["approvals"].select(F.col("id").alias("loan_id"), "customer_id", "processed_on")
-    base = X.attach(base, s["customers"], "customer_id", "id", [F.col("email")], "customers")
-    base = X.attach(base, s["people"], "customer_id", "id",
-                    [F.col("birth_date"), F.col("first_name"), F.col("last_name")], "people")
-    base = X.attach(base, s["addresses"], "customer_id", "id", [F.col("line1"), F.col("city")], "addresses")
+    base = X.gather(base, [
+        X.pick(base, s["customers"], "customer_id", "id", [F.col("email")]),
+        X.pick(base, s["people"], "customer_id", "id", [F.col(c) for c in ("birth_date", "first_name", "last_name")]),
+        X.pick(base, s["addresses"], "customer_id", "id", [F.col("line1"), F.col("city")]),
+    ])
     out = X.contact_features(base, "email", "processed_on", "birth_date", "first_name", "last_name", "line1", "city")
     return out.drop("customer_id", "processed_on", "birth_date", "first_name", "last_name", "line1", "city")
 
@@ -274,7 +275,7 @@ def drift_counts(spark, folder):
 
 # --- outcome tables and rates ------------------------------------------------
 def _outcome_table(spark, folder, build, loan_type):
-    return build(catalog(spark, folder), OUTCOMES_FROM, OUTCOMES_TO, loan_type)
+    return build(catalog(spark, folder), OUTCOMES_FROM, OUTCOMES_TO, loan_type, keep=stage)
 
 
 @query
@@ -355,8 +356,11 @@ def cumulative_fee_curve(spark, folder):
 
 @query
 def status_switched_fees(spark, folder):
-    s = catalog(spark, folder)
-    return C.status_switched_fees(_curve(s), s["loans"], s["loan_statuses"])
+    return _switched(catalog(spark, folder))
+
+
+def _switched(s):
+    return C.status_switched_fees(stage(_curve(s), "fee-curve"), s["loans"], s["loan_statuses"])
 
 
 def _accounts(s):
@@ -364,13 +368,13 @@ def _accounts(s):
                                         s["second_identities"], s["loans"], AS_OF)
 
 
-def _cashout(s):
-    return C.monthly_cashout(_accounts(s), s["second_loans"], s["second_loan_status_history"], AS_OF)
+def _cashout(s, accounts=None):
+    return C.monthly_cashout(accounts or _accounts(s), s["second_loans"], s["second_loan_status_history"], AS_OF)
 
 
-def _net_cash(s, by_payment_date=False):
+def _net_cash(s, by_payment_date=False, cashout=None):
     return C.monthly_net_cash(
-        _cashout(s), s["second_loans"], s["second_loan_statuses"], s["second_payments"], s["second_activities"],
+        cashout or stage(_cashout(s), "cashout"), s["second_loans"], s["second_loan_statuses"], s["second_payments"], s["second_activities"],
         s["second_entries"], s["second_entry_types"], s["second_ledger_accounts"], by_payment_date)
 
 
@@ -399,10 +403,12 @@ def monthly_net_cash_by_payment_date(spark, folder):
 
 
 def _merged(s):
-    first = C.status_switched_fees(_curve(s), s["loans"], s["loan_statuses"])
+    first = stage(_switched(s), "customer-net-fees")
+    accounts = stage(_accounts(s), "accounts")
+    cashout = stage(_cashout(s, accounts), "cashout")
     # Fees of the second platform are rounded to cents before they enter the mart.
-    net = _net_cash(s).withColumn("net_fees", F.round("net_fees", 2).cast("decimal(18,2)"))
-    return C.merge_curves(first, C.second_platform_fees(net), MERGE_CUTOFF)
+    net = _net_cash(s, cashout=cashout).withColumn("net_fees", F.round("net_fees", 2).cast("decimal(18,2)"))
+    return C.merge_curves(first, stage(C.second_platform_fees(net), "second-net-fees"), MERGE_CUTOFF)
 
 
 @query
@@ -412,7 +418,7 @@ def merge_curves(spark, folder):
 
 def _one_fee_per_month(s):
     """A curve with one row per (customer, month), as the lookup demands."""
-    return C.status_switched_fees(_curve(s), s["loans"], s["loan_statuses"]).select("customer_id", "month_calculated", "net_fees")
+    return _switched(s).select("customer_id", "month_calculated", "net_fees")
 
 
 @query
@@ -502,8 +508,8 @@ def _model_table(spark, folder, product):
     build = _OUTCOME_BUILDERS[p.outcome_table]
     loan_type = "payday" if p.outcome_table == "payday_outcomes" else p.loan_type
     s = s.with_tables(**{
-        p.outcome_table: build(s, OUTCOMES_FROM, OUTCOMES_TO, loan_type),
-        "all_customer_net_fees": _one_fee_per_month(s),
+        p.outcome_table: stage(build(s, OUTCOMES_FROM, OUTCOMES_TO, loan_type, keep=stage), p.outcome_table),
+        "all_customer_net_fees": stage(_one_fee_per_month(s), "fees"),
     })
     return model_table.build_model_table(p, s, SINCE, AS_OF)
 
@@ -539,6 +545,6 @@ def first_customers_with_trailing_rates(spark, folder):
     base = T.lookup(base, s["approvals"], "customer_id", F.col("requested_time"), F.col("processed_on"),
                     [T.pick_max("a", "id", ["processed_on"])], "before")
     base = base.select("loan_id", "state", F.col("a.id").alias("approval_id"), F.col("a.processed_on").alias("approval_processed"))
-    outcomes = outcome_tables.payday_outcomes(s, OUTCOMES_FROM, OUTCOMES_TO).where(~F.col("existing_flg"))
+    outcomes = outcome_tables.payday_outcomes(s, OUTCOMES_FROM, OUTCOMES_TO, keep=stage).where(~F.col("existing_flg"))
     return R.trailing_rates(base, outcomes, F.col("approval_processed"), "due_date_adjusted",
                             {"state": (F.col("state"), F.col("state"))}, {"def": F.col("initial_default_flg")})

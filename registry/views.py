@@ -8,6 +8,7 @@ views only rename, derive codes from values, and shift dates.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -265,7 +266,7 @@ def views(d: Dialect) -> dict[str, str]:
 
 def catalog(spark: SparkSession, folder: str) -> Catalog:
     """All credit tables over one folder of driver tables."""
-    return Catalog({name: spark.sql(text) for name, text in views(Dialect(folder)).items()})
+    return Catalog({name: partial(spark.sql, text) for name, text in views(Dialect(folder)).items()})
 
 
 def raw(spark: SparkSession, folder: str, name: str) -> DataFrame:

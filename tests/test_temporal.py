@@ -128,9 +128,9 @@ def test_value_as_of(spark):
     ], "id long, record_id long, table_name string, column_name string, change_time timestamp_ntz, old_value string")
     left = spark.createDataFrame([(1, t, "now1", "inc1"), (2, t, "now2", "inc2"), (3, t, "now3", "inc3")],
                                  "cid long, t timestamp_ntz, email string, income string")
-    got = T.value_as_of(left, log, {"cid": "record_id"}, F.col("t"),
-                        {"email_then": ("email", "email"), "income_then": ("income", "income")}, "customers")
-    assert {r.cid: (r.email_then, r.income_then) for r in got.collect()} == {
+    got = T.value_as_of(left, log, {"cid": "record_id"}, F.col("t"), ["email", "income"], "customers")
+    got = got.withColumns({c: F.coalesce(f"{c}_before", c) for c in ("email", "income")})
+    assert {r.cid: (r.email, r.income) for r in got.collect()} == {
         1: ("lowest id wins", "inc1"), 2: ("now2", "old income"), 3: ("now3", "inc3")}
 
 
