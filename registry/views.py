@@ -276,6 +276,6 @@ def raw(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def with_views(body: str, names: list[str], extra: dict[str, str] | None = None) -> str:
     """Oracle SQL: the named views, then further common tables, then the body."""
     all_views = views(Dialect(None))
-    parts = [f"{n} as ({all_views[n].strip()})" for n in names]
-    parts += [f"{n} as ({text.strip()})" for n, text in (extra or {}).items()]
+    parts = [f"{n} as materialized ({all_views[n].strip()})" for n in names]
+    parts += [f"{n} as materialized ({text.strip()})" for n, text in (extra or {}).items()]
     return ("with " + ",\n".join(parts) + "\n" if parts else "") + body.strip()
