@@ -68,7 +68,8 @@ def views(d: Dialect) -> dict[str, str]:
             select o_orderkey as id, o_custkey as customer_id,
                    {d.minutes("o_orderdate", f"{CENTS} % 1440")} as processed_on,
                    cast(o_totalprice * 2 as decimal(18,2)) as amount,
-                   o_totalprice / 1000000 as default_rate, 500 + o_totalprice / 4000 as credit_score,
+                   cast({CENTS} % 1000 as double) / 1000 as default_rate,
+                   cast(300 + {CENTS} % 400 as double) as credit_score,
                    case when o_orderstatus = 'P' then 0.5 else 0.25 end as profitability_rate,
                    case when o_totalprice > 450000 then 'pre-approved' else 'scored' end as reason_cd,
                    o_totalprice < 20000 as pre_approved_flg,
@@ -133,9 +134,9 @@ def views(d: Dialect) -> dict[str, str]:
         "bank_bad_rates": f"""
             select {CENTS} % 50 as routing_num,
                    cast(year(o_orderdate) * 100 + month(o_orderdate) as int) as bank_bad_rate_month,
-                   round(avg(o_totalprice) / 1000000, 6) as bad_rate, round(min(o_totalprice) / 1000000, 6) as bad_rate_individual,
-                   round(max(o_totalprice) / 1000000, 6) as bad_rate_30, round(min(o_totalprice) / 2000000, 6) as bad_rate_individual_30,
-                   round(max(o_totalprice) / 2000000, 6) as bad_rate_60, round(min(o_totalprice) / 4000000, 6) as bad_rate_individual_60,
+                   cast(count(*) as double) / 8 as bad_rate, cast(min({CENTS}) % 1000 as double) / 1000 as bad_rate_individual,
+                   cast(max({CENTS}) % 100 as double) / 100 as bad_rate_30, cast(min({CENTS}) % 70 as double) / 100 as bad_rate_individual_30,
+                   cast(max({CENTS}) % 50 as double) / 100 as bad_rate_60, cast(min({CENTS}) % 30 as double) / 100 as bad_rate_individual_60,
                    max(case when o_orderstatus = 'F' then 1 else 0 end) as credit_union_flg
             from {orders} group by {CENTS} % 50, year(o_orderdate) * 100 + month(o_orderdate)""",
         "loan_statuses": f"""
