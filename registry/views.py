@@ -8,7 +8,7 @@ views only rename, derive codes from values, and shift dates.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import partial
+from functools import cache, lru_cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -265,11 +265,13 @@ def views(d: Dialect) -> dict[str, str]:
     }
 
 
+@lru_cache(maxsize=16)
 def catalog(spark: SparkSession, folder: str) -> Catalog:
-    """All credit tables over one folder of driver tables."""
-    return Catalog({name: partial(spark.sql, text) for name, text in views(Dialect(folder)).items()})
+    """All credit tables over one folder of driver tables, each resolved once."""
+    return Catalog({name: cache(partial(spark.sql, text)) for name, text in views(Dialect(folder)).items()})
 
 
+@lru_cache(maxsize=256)
 def raw(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -249,3 +249,48 @@ def test_existing_flag_is_strict(spark):
 def test_drift_report(spark):
     df = spark.createDataFrame([(1,), (2,), (None,)], "a long")
     assert rows(drift_report(df, big=F.col("a") > 1, small=F.col("a") < 0), "check_name", "row_count") == [("big", 1), ("small", 0)]
+
+
+def test_second_platform_pick(spark):
+    d = date(2018, 3, 1)
+    loans = spark.createDataFrame([(2, 1, 2, 6, d, 43), (1, 1, 1, 6, d, 43), (3, 2, 3, 6, d, 1), (4, 3, 4, 9, d, 35), (5, 4, 5, 6, d, 35)],
+                                  "loan_id long, account_id long, loan_agreement_id long, loan_status_id int, disbursement_date date, region_id int")
+    applications = spark.createDataFrame([(1, 4), (2, 4), (3, 4), (4, 4), (5, 3)], "loan_agreement_id long, brand_id int")
+    statuses = spark.createDataFrame([(6, "paid_off"), (9, "issued")], "loan_status_id int, loan_status string")
+    identities = spark.createDataFrame([(i, str(100 + i)) for i in (1, 2, 3, 4)], "account_id long, public_identifier string")
+    other = spark.createDataFrame([
+        (50, 101, "issued", d + timedelta(days=1)), (40, 101, "issued", d), (30, 101, "declined", d - timedelta(days=9)),
+        (70, 102, "issued", d - timedelta(days=5)), (60, 102, "issued", None), (80, 102, "paid_off", d - timedelta(days=5)),
+    ], "id long, customer_id long, status_cd string, funding_date_actual date")
+    got = C.second_platform_first_loan(loans, applications, statuses, identities, other, AS_OF)
+    # Account 1: both dates tie with or follow the disbursement, so the lowest id wins. Account 2: the earlier start wins.
+    assert rows(got, "account_id", "first_funded_loan_id", "state", "first_platform_loan_id") == [
+        (1, 1, "TX", 40), (2, 3, "unexpected", 70)]
+
+
+def test_cashout_and_net_cash(spark):
+    start, as_of = date(2019, 1, 31), date(2019, 4, 30)
+    accounts = spark.createDataFrame([(1, 9, 5, start, 43, "TX", "called_due", None, None, 0)],
+                                     "first_funded_loan_id long, account_id long, customer_id long, first_funding_date date, region_id int, state string, "
+                                     "loan_status string, first_platform_loan_id long, first_platform_funding_date date, days_since_first_funding int")
+    loans = spark.createDataFrame([(1, 9, 7, start, D(100)), (2, 9, 6, date(2019, 3, 31), D(50))],
+                                  "loan_id long, account_id long, loan_status_id int, disbursement_date date, amount decimal(18,2)")
+    statuses = spark.createDataFrame([(6, "paid_off"), (7, "called_due")], "loan_status_id int, loan_status string")
+    # The first default event is exactly at the second horizon, midnight of 31 March.
+    history = spark.createDataFrame([(2, 1, "past_due", datetime(2019, 3, 31)), (1, 1, "current", datetime(2019, 2, 1))],
+                                    "id long, loan_id long, to_status string, created_at timestamp_ntz")
+    cash = C.monthly_cashout(accounts, loans, history, as_of)
+    assert rows(cash, "mon", "total_cash_out", "defaulted_principal") == [(1, D(100), 0.0), (2, D(150), 100.0), (3, D(150), 100.0)]
+    payments = spark.createDataFrame([(1, 1, date(2019, 3, 1), 3, 2, 1), (2, 1, date(2019, 2, 1), 1, 2, 1), (3, 2, date(2019, 4, 30), 4, 2, 1)],
+                                     "payment_id long, loan_id long, effective_date date, payment_status_id int, payment_purpose_id int, repayment_method_id int")
+    activities = spark.createDataFrame([(1, 1), (3, 3)], "activity_id long, payment_id long")
+    entries = spark.createDataFrame([(1, 2, 1, D(30)), (1, 2, 2, D(60)), (1, 1, 1, D(999)), (3, 2, 3, D(7))],
+                                    "activity_id long, ledger_id int, entry_type_id int, amount decimal(18,2)")
+    types = spark.createDataFrame([(1, 1, 0), (2, 2, 0), (3, 3, 0)], "entry_type_id int, credit_account_id int, debit_account_id int")
+    ledger = spark.createDataFrame([(0, "cso_cash"), (1, "interest"), (2, "principal_x"), (3, "rubbish")], "account_id int, account string")
+    net = C.monthly_net_cash(cash, loans, statuses, payments, activities, entries, types, ledger)
+    got = {r.mon: r for r in net.collect()}
+    # Before any payment in good standing there are no fees, not zero fees; after the default they are cash less principal.
+    assert (got[1].total_cash_in, got[1].net_cash, got[1].net_fees, got[1].row_count) == (D(0), D(-100), None, 2)
+    assert (got[2].total_cash_in, got[2].net_cash, got[2].net_fees, got[2].row_count) == (D(90), D(-60), -10.0, 3)
+    assert (got[3].total_cash_in, got[3].is_broken, got[3].row_count, got[3].entry_amount) == (D(90), True, 3, D(97))
