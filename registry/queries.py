@@ -416,6 +416,13 @@ def merge_curves(spark, folder):
     return _merged(catalog(spark, folder))
 
 
+@query
+def all_customer_net_fees(spark, folder):
+    """The fee mart as the plan builds it, with unrounded second-platform fees."""
+    out = fee_marts.all_customer_net_fees(catalog(spark, folder), AS_OF, MERGE_CUTOFF, CURVE_AGE_MONTHS, keep=stage)
+    return out.withColumn("net_fees", F.round("net_fees", 2))
+
+
 def _one_fee_per_month(s):
     """A curve with one row per (customer, month), as the lookup demands."""
     return _switched(s).select("customer_id", "month_calculated", "net_fees")
