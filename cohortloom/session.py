@@ -28,14 +28,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cpus: int = 8, app: str = "cohortloom", memory: str = "12g") -> SparkSession:
-    """A local session for tests and the benchmark."""
+def local_session(
+    cpus: int = 8, app: str = "cohortloom", memory: str = "12g", shared: str = "/tmp/checkpoints"
+) -> SparkSession:
+    """A local session for tests and the benchmark; ``shared`` is its folder for stages."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", shared)
     )
     for key, value in RUNTIME_SETTINGS.items():
         builder = builder.config(key, value)

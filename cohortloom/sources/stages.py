@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +23,14 @@ def write_mart(df: DataFrame, path: str, partition_by: str | None = None) -> Dat
 
 
 def stage_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh local one only where none is named."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
+
+    There is no fallback: a folder on one machine would be empty for the others.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="cohortloom-")
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return shared.rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

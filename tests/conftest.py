@@ -9,5 +9,5 @@ from cohortloom.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(cpus=8, app="tests", memory="6g")
+def spark(tmp_path_factory):
+    return local_session(cpus=8, app="tests", memory="6g", shared=str(tmp_path_factory.mktemp("shared")))
