@@ -5,10 +5,15 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortloom.llm.attribution import count_section_tokens
+from cohortloom.llm.chat import format_conversations, read_back
+from cohortloom.llm.decontamination import find_leaks
 from cohortloom.llm.minhash import near_duplicates
+from cohortloom.llm.oracles import ORACLES
 from cohortloom.llm.packing import pack_documents
+from cohortloom.llm.toxicity import score_toxicity
 
 
 def tokenizer_path() -> str:
@@ -42,9 +47,32 @@ def minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def nonnegative_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def budgeted_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests read back from the formatted windows, with one conversation of control strings added."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    added = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"), F.lit(text).alias("text"))
+    return read_back(format_conversations(turns.unionByName(added))).select(
+        "conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars")
+
+
+def simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_token_counts": token_counts,
+    "op4_nonnegative_pu_toxicity": nonnegative_pu_toxicity,
     "op5_minmax_near_dedup": minmax_near_dedup,
+    "op6_budgeted_chat_windows": budgeted_chat_windows,
+    "op10_simhash_decontamination": simhash_decontamination,
 }
-ORACLES: dict[str, str] = {}

@@ -64,7 +64,10 @@ class Words:
 
     def runs(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Hashes of the word runs from word ``first`` to word ``last``, both included."""
-        start, end = self.start[first], self.end[last]
+        return self.between(self.start[first], self.end[last])
+
+    def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from ``start`` to before ``end`` of the compact text."""
         return mix((self._prefix[end] - self._prefix[start]) * self._down[start])
 
     def words(self) -> np.ndarray:
