@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm.attribution import count_section_tokens
 from cohortloom.llm.chat import format_conversations, read_back
+from cohortloom.llm.context_tree import score_documents
 from cohortloom.llm.decontamination import find_leaks
+from cohortloom.llm.epsilon_grid import link_vectors
 from cohortloom.llm.minhash import near_duplicates
 from cohortloom.llm.oracles import ORACLES
 from cohortloom.llm.packing import pack_documents
+from cohortloom.llm.quality import grade_documents
 from cohortloom.llm.toxicity import score_toxicity
 
 
@@ -47,6 +50,19 @@ def minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source of a document is its site, the language its path."""
+    return grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def epsilon_grid_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def nonnegative_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,8 +87,11 @@ def simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_token_counts": token_counts,
+    "op3_hierarchical_quality": hierarchical_quality,
     "op4_nonnegative_pu_toxicity": nonnegative_pu_toxicity,
     "op5_minmax_near_dedup": minmax_near_dedup,
     "op6_budgeted_chat_windows": budgeted_chat_windows,
+    "op7_epsilon_grid_links": epsilon_grid_links,
+    "op8_context_tree_scores": context_tree_scores,
     "op10_simhash_decontamination": simhash_decontamination,
 }
