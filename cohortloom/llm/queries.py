@@ -15,6 +15,7 @@ from cohortloom.llm.epsilon_grid import link_vectors
 from cohortloom.llm.minhash import near_duplicates
 from cohortloom.llm.oracles import ORACLES
 from cohortloom.llm.packing import pack_documents
+from cohortloom.llm.pii import find_personal_data
 from cohortloom.llm.quality import grade_documents
 from cohortloom.llm.toxicity import score_toxicity
 
@@ -80,6 +81,10 @@ def budgeted_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "formatted_chars")
 
 
+def semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -93,5 +98,6 @@ QUERIES = {
     "op6_budgeted_chat_windows": budgeted_chat_windows,
     "op7_epsilon_grid_links": epsilon_grid_links,
     "op8_context_tree_scores": context_tree_scores,
+    "op9_semi_markov_pii": semi_markov_pii,
     "op10_simhash_decontamination": simhash_decontamination,
 }
