@@ -81,7 +81,8 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
         shift += np.log(x + k)
     z = x + 7
     i = 1 / z
-    return (z - 0.5) * np.log(z) - z + 0.918938533204672742 + i / 12 - i**3 / 360 + i**5 / 1260 - shift
+    series = i / 12 - i**3 / 360 + i**5 / 1260 - i**7 / 1680 + i**9 / 1188
+    return (z - 0.5) * np.log(z) - z + 0.918938533204672742 + series - shift
 
 
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
