@@ -96,11 +96,35 @@ def add_business_days(d: Column, n: int, holidays: Sequence[date] = ()) -> Colum
         working = F.least(F.weekday(d), F.lit(4))
         weekends = F.floor((working + n) / F.lit(5)).cast("int")
         return F.date_add(d, (F.lit(n) - past_friday + weekends * 2).cast("int"))
-    closed = F.array(*[F.lit(h) for h in holidays])
-    reach = n + 2 * (n // 5 + 1) + len(holidays) + 2
-    days = F.sequence(F.date_add(d, 1), F.date_add(d, reach))
-    working = F.filter(days, lambda x: (F.weekday(x) < 5) & ~F.array_contains(closed, x))
-    return F.element_at(working, n)
+    # Weekdays are numbered from a Monday on; less the holidays so far, that numbers the open days.
+    closed = sorted({_weekdays_until(h) for h in holidays if h.weekday() < 5})
+    since = F.datediff(d, F.lit(_MONDAY))
+    weekdays = F.floor(since / F.lit(7)) * 5 + F.least(F.weekday(d), F.lit(4)) + 1
+    # transform() names the intermediate number, which the comparisons would else repeat.
+    wanted = F.transform(F.array(weekdays), lambda w: w - _count_up_to(closed, w) + n)
+    before = [w - i for i, w in enumerate(closed, 1)]
+    number = F.transform(wanted, lambda w: w + _count_up_to(before, w - 1) - 1)[0]
+    return F.date_add(F.lit(_MONDAY), (F.floor(number / F.lit(5)) * 7 + F.pmod(number, F.lit(5))).cast("int"))
+
+
+_MONDAY = date(1970, 1, 5)
+
+
+def _weekdays_until(day: date) -> int:
+    """Weekdays from the first Monday up to a weekday, itself included."""
+    weeks, rest = divmod((day - _MONDAY).days, 7)
+    return weeks * 5 + rest + 1
+
+
+def _count_up_to(ordered: Sequence[int], x: Column) -> Column:
+    """How many of the ordered numbers are ``x`` or less, by halving: few comparisons for long lists."""
+    def part(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.lit(ordered[middle]) <= x, part(middle + 1, high)).otherwise(part(low, middle))
+
+    return part(0, len(ordered))
 
 
 # --- text --------------------------------------------------------------------

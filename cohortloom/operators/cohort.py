@@ -20,7 +20,6 @@ def first_time_cohort(
     as_of: Column | date,
     maturity: DataFrame,
     maturity_days: int = MATURITY_DAYS,
-    limit: int | None = None,
 ) -> DataFrame:
     """Base loans of a product by customers with no earlier closed base loan.
 
@@ -40,8 +39,7 @@ def first_time_cohort(
         .join(ripe, F.col("id") == F.col("loan_id"), "left_semi")
     )
     closed = base.where(F.col("status_cd").isin(*codes.REPEAT_STATUSES)).select("id", "customer_id")
-    out = without_earlier(picked, closed, "customer_id", "id").select(F.col("id").alias("loan_id"), "customer_id")
-    return out if limit is None else out.limit(limit)
+    return without_earlier(picked, closed, "customer_id", "id").select(F.col("id").alias("loan_id"), "customer_id")
 
 
 def chain_maturity(chains: DataFrame) -> DataFrame:

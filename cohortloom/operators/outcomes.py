@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import codes
 from cohortloom.functions import scalars as S
+from cohortloom.operators.quality import expect_one
 from cohortloom.operators.temporal import (
     count_above_until,
     count_where,
@@ -79,7 +80,7 @@ REPEAT_HORIZONS = {6: "six", 12: "twelve", 18: "eighteen"}
 
 def repeat_loan_counts(
     base: DataFrame, loans: DataFrame, as_of: Column | date, horizons: Sequence[int] = tuple(REPEAT_HORIZONS),
-    all_loans: bool = True, pair_limit: int = 256,
+    all_loans: bool = True,
 ) -> DataFrame:
     """Later loans (by id) paid out within so many months, base loans and all;
     NULL until the horizon has passed."""
@@ -91,7 +92,7 @@ def repeat_loan_counts(
     if all_loans:
         folds.append(count_where("loan_objects"))
     limits = {str(h): F.add_months("funding_date_actual", h) for h in horizons}
-    counted = count_above_until(base, funded, "customer_id", "loan_id", limits, "__day", folds, "loan_id", pair_limit)
+    counted = count_above_until(base, funded, "customer_id", "loan_id", limits, "__day", folds, "loan_id")
 
     def ripe(fold: str, h: int) -> Column:
         passed = F.col("funding_date_actual") <= F.add_months(as_of, -h)
@@ -109,9 +110,11 @@ def loan_performance_join(base: DataFrame, chains: DataFrame, performance: DataF
         F.col("count_initial_default").alias("loan_chain_initial_default_count"),
         S.flag(F.col("count_final_default") > 0).alias("loan_chain_final_default_flg"),
         F.col("net_fees").alias("loan_chain_net_fees"))
+    chains = expect_one(chains, ["__b"], "chain performance")
     performance = performance.select(
         F.col("loan_id").alias("__l"), F.col("initial_default_flg").alias("base_loan_initial_default_flg"),
         F.col("final_default_flg").alias("base_loan_final_default_flg"))
+    performance = expect_one(performance, ["__l"], "loan performance")
     joined = base.join(chains, base["loan_id"] == chains["__b"], "left").join(
         performance, base["loan_id"] == performance["__l"], "left")
     return joined.select(
@@ -171,7 +174,9 @@ def installment_performance(
         F.count_if(ever_bad & (number <= 6)).alias("__bad6"),
         *finals,
     )
-    marts = performance.select(F.col("loan_id").alias("__p"), "number_paid_installments", "net_fees")
+    marts = expect_one(
+        performance.select(F.col("loan_id").alias("__p"), "number_paid_installments", "net_fees"),
+        ["__p"], "installment performance")
     joined = base.join(grouped, base["loan_id"] == grouped["__l"], "left").join(
         marts, base["loan_id"] == marts["__p"], "left")
 

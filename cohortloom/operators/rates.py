@@ -96,12 +96,12 @@ def month_rate_join(
     columns: Sequence[str],
 ) -> DataFrame:
     """Attach precomputed rates for a numeric key (text on the base side) and the
-    ``yyyymm`` month of a moment."""
+    ``yyyymm`` month of a moment. A text with a fraction meets no whole key."""
     rates = expect_one(
-        rates.select(F.col(rate_key).cast("decimal(20,0)").alias("__k"), F.col(rate_month).cast("string").alias("__mon"),
+        rates.select(F.col(rate_key).cast("decimal(38,18)").alias("__k"), F.col(rate_month).cast("string").alias("__mon"),
                      *columns),
         ["__k", "__mon"], "month rates")
-    keyed = base.withColumns({"__bk": key.try_cast("decimal(20,0)"),
+    keyed = base.withColumns({"__bk": key.try_cast("decimal(38,18)"),
                               "__bm": S.month_key(at)})
     return (
         keyed.join(rates, (keyed["__bk"] == rates["__k"]) & (keyed["__bm"] == rates["__mon"]), "left")

@@ -384,68 +384,60 @@ def count_above_until(
     time: str,
     folds: Sequence[Fold],
     anchor: str,
-    pair_limit: int = 256,
 ) -> DataFrame:
     """For each left row and limit: folds over right rows of the same key with
     ``rank`` above its own *and* ``time`` at or before the limit.
 
-    Two orders at once cannot be one running fold. Keys with at most
-    ``pair_limit`` right rows are joined and folded directly. A key above it
-    (exactly, no rows dropped) is answered through its rank's binary digits: the
-    ranks above r are the right-hand siblings of r's ancestors, so each right row
-    is filed under its odd ancestors and each question asks the siblings, which
-    is a one-sided lookup again and makes no pairs.
+    Two orders at once cannot be one running fold. Ranks are read as binary
+    digits: the ranks above r are the right-hand siblings of r's ancestors, so
+    each right row is filed under its odd ancestors and each question asks the
+    siblings, which is a one-sided lookup again and makes no pairs. A key has as
+    many levels as digits in which its ranks differ; negative ranks sort below
+    positive ones as the sign digit is turned over.
 
-    Folds are sums. Output: ``{fold}_{limit}`` columns on the left row, which
-    ``anchor`` identifies.
+    Folds are sums. Rows with a NULL key or rank count nowhere. Output:
+    ``{fold}_{limit}`` columns on the left row, which ``anchor`` identifies; NULL
+    where no right row counts.
     """
-    sizes = right.groupBy(F.col(by).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
-    hot_keys = sizes.where(F.col("__n") > pair_limit).select("__k")
     outs = [(f, limit, f"{f.name}_{limit}") for limit in limits for f in folds]
-
     rights = right.where(F.col(by).isNotNull() & F.col(rank).isNotNull() & F.col(time).isNotNull()).select(
-        F.col(by).alias("__k"), F.col(rank).alias("__r"), F.col(time).alias("__t"),
+        F.col(by).alias("__k"), F.col(rank).cast("long").alias("__r"), F.col(time).alias("__t"),
         *[f.value.alias(f.name) for f in folds])
     asks = left.where(F.col(by).isNotNull() & F.col(rank).isNotNull()).select(
-        F.col(anchor).alias("__id"), F.col(by).alias("__k"), F.col(rank).alias("__lr"),
+        F.col(anchor).alias("__id"), F.col(by).alias("__k"), F.col(rank).cast("long").alias("__r"),
         *[c.alias(f"__u_{n}") for n, c in limits.items()])
 
-    # Ordinary keys.
-    near = (
-        asks.join(hot_keys, "__k", "left_anti")
-        .join(rights.join(hot_keys, "__k", "left_anti"), "__k")
-        .where(F.col("__r") > F.col("__lr"))
-        .groupBy("__id")
-        .agg(*[F.sum(F.when(F.col("__t") <= F.col(f"__u_{limit}"), F.col(f.name))).alias(out)
-               for f, limit, out in outs])
-    )
-    # Hot keys.
-    levels = F.sequence(F.lit(0), F.lit(62))
-    filed = (
-        rights.join(hot_keys, "__k", "left_semi")
-        .select("__k", "__r", "__t", *[f.name for f in folds], F.explode(levels).alias("__level"))
-        .withColumn("__node", F.call_function("shiftright", F.col("__r").cast("long"), F.col("__level")))
-        .where(F.col("__node") % 2 == 1)
-    )
-    questions = asks.join(hot_keys, "__k", "left_semi").withColumn("__level", F.explode(levels)).withColumn(
-        "__q",
-        F.explode(F.array(*[
-            F.struct(F.lit(n).alias("limit"), F.col(f"__u_{n}").alias("until")) for n in limits
-        ])),
+    def ends(df: DataFrame, low: str, high: str) -> DataFrame:
+        return df.groupBy("__k").agg(F.min("__r").alias(low), F.max("__r").alias(high))
+
+    # Only keys with a right row above some question have levels at all.
+    differing = F.bin(F.col("__a").bitwiseXOR(F.col("__z")))
+    levels = (
+        ends(asks, "__a", "__x").join(ends(rights, "__y", "__z"), "__k").where("__a < __z")
+        .select("__k", F.least("__a", "__y").alias("__a"), F.greatest("__x", "__z").alias("__z"))
+        .select("__k", F.sequence(F.lit(0), F.length(differing) - 1).alias("__levels"))
     )
+
+    def at_levels(df: DataFrame) -> DataFrame:
+        unsigned = F.col("__r").bitwiseXOR(F.lit(-(2**63)))
+        return df.join(levels, "__k").withColumn("__level", F.explode("__levels")).withColumn(
+            "__node", F.call_function("shiftrightunsigned", unsigned, F.col("__level"))).drop("__levels", "__r")
+
+    odd = F.col("__node").bitwiseAND(F.lit(1)) == 1
+    filed = at_levels(rights).where(odd)
+    until = F.explode(F.array(*[
+        F.struct(F.lit(n).alias("limit"), F.col(f"__u_{n}").alias("until")) for n in limits]))
     questions = (
-        questions.withColumn("__own", F.call_function("shiftright", F.col("__lr").cast("long"), F.col("__level")))
-        .where(F.col("__own") % 2 == 0)
-        .select("__id", "__k", "__level", (F.col("__own") + 1).alias("__node"),
-                F.col("__q.limit").alias("__limit"), F.col("__q.until").alias("__until"))
+        at_levels(asks).where(~odd).withColumn("__node", F.col("__node").bitwiseOR(F.lit(1)))
+        .withColumn("__q", until)
+        .select("__id", "__k", "__level", "__node", F.col("__q.limit").alias("__limit"), F.col("__q.until").alias("__until"))
     )
     sums = [Fold(f.name, "sum", F.col(f.name)) for f in folds]
-    far = (
+    answers = (
         lookup(questions, filed, ["__k", "__level", "__node"], F.col("__until"), F.col("__t"), sums, "until")
         .groupBy("__id")
         .agg(*[F.sum(F.when(F.col("__limit") == limit, F.col(f.name))).alias(out) for f, limit, out in outs])
     )
-    answers = near.unionByName(far)
     return (
         left.join(answers, left[anchor] == answers["__id"], "left")
         .select(*left.columns, *[out for _, _, out in outs])

@@ -56,10 +56,10 @@ class Product:
 
 
 # --- stage 1: spine ----------------------------------------------------------
-def _with_approval(product: Product, sources, since: date, as_of: date, limit: int | None) -> DataFrame:
+def _with_approval(product: Product, sources, since: date, as_of: date) -> DataFrame:
     """Cohort loans with the latest earlier approval of a new customer."""
     loans = sources["loans"]
-    cohort = K.first_time_cohort(loans, product.loan_type, since, as_of, product.maturity(sources), limit=limit)
+    cohort = K.first_time_cohort(loans, product.loan_type, since, as_of, product.maturity(sources))
     base = loans.join(cohort.select("loan_id"), F.col("id") == F.col("loan_id"), "left_semi").select(
         F.col("id").alias("loan_id"), "customer_id", "requested_time", "funding_date_actual", *product.loan_columns,
         F.col("amount").alias("loan_amount"), F.col("status_cd").alias("loan_status"),
@@ -76,10 +76,10 @@ def _with_approval(product: Product, sources, since: date, as_of: date, limit: i
 
 
 def build_spine(
-    product: Product, sources, since: date, as_of: date, limit: int | None = None, keep=no_stage
+    product: Product, sources, since: date, as_of: date, keep=no_stage
 ) -> DataFrame:
     """Cohort loans with what was known at application: one row per loan."""
-    base = keep(_with_approval(product, sources, since, as_of, limit), "approved")
+    base = keep(_with_approval(product, sources, since, as_of), "approved")
     application = sources["applications"].groupBy(F.col("loan_id").alias("__al")).agg(
         F.max("application_id").alias("application_id"))
     customer = [F.col("id").alias("__known"), F.col("person_id"), F.col("created_on").alias("customer_created")]
@@ -214,7 +214,7 @@ def outcome_parts(spine: DataFrame, product: Product, sources, as_of: date) -> l
 
 # --- all ---------------------------------------------------------------------
 def build_model_table(
-    product: Product, sources, since: date, as_of: date, limit: int | None = None, stage: bool = True
+    product: Product, sources, since: date, as_of: date, stage: bool = True
 ) -> DataFrame:
     """The complete table, one row per cohort loan.
 
@@ -223,7 +223,7 @@ def build_model_table(
     spine and the reports, which several stages read, are written once.
     """
     keep = write_stage if stage else no_stage
-    spine = keep(build_spine(product, sources, since, as_of, limit, keep), "spine")
+    spine = keep(build_spine(product, sources, since, as_of, keep), "spine")
     reports = keep(report_stage(spine, sources), "reports")
     return X.gather(spine.drop("person_id"), [
         reports,

@@ -1,6 +1,6 @@
 """Column functions at their edges."""
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -77,3 +77,22 @@ def test_reversed_regex(spark):
     c = S.any_word_matches(("interest", "fee", "principal"), F.col("p"))
     for pattern, hit in (("FEE", True), ("inter.st", True), ("fees", False), (None, None)):
         assert one(spark, "p string", (pattern,), c) == (hit,)
+
+
+def test_add_business_days_with_any_holiday_list(spark):
+    start = date(2019, 12, 1)
+    weekdays = [start + timedelta(days=i) for i in range(120) if (start + timedelta(days=i)).weekday() < 5]
+    january = [x for x in weekdays if x >= date(2020, 1, 6)]
+    weekend = [date(2020, 1, 4), date(2020, 1, 5)]
+    lists = [january[:20], january[:20:2], [*weekdays[:10], *january[3:9], *weekend], weekend]
+    days = [date(2019, 12, 20) + timedelta(days=i) for i in range(30)]
+    df = spark.createDataFrame([(x,) for x in [*days, None]], "d date")
+    for holidays in lists:
+        got = df.select("d", *[S.add_business_days(F.col("d"), n, holidays).alias(f"n{n}") for n in (1, 5, 13)])
+        for r in got.collect():
+            for n in (1, 5, 13):
+                x, left = r.d, n
+                while r.d and left:
+                    x += timedelta(days=1)
+                    left -= x.weekday() < 5 and x not in holidays
+                assert r[f"n{n}"] == x

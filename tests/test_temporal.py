@@ -97,17 +97,18 @@ def test_date_meets_timestamp_at_midnight(spark):
     assert {r.lid: r.n for r in got.collect()} == {1: None, 2: 1}
 
 
-@pytest.mark.parametrize("pair_limit", [0, 20, 10**6])
-def test_count_above_until(spark, pair_limit):
+@pytest.mark.parametrize("spread", [1, 10**12, -(10**15)])
+def test_count_above_until(spark, spread):
+    """Dense, sparse and negative ids; one key holds three quarters of the rows."""
     rng = random.Random(3)
-    rights = [(i, rng.choice([1, 1, 1, 2]), date(2020, 1, 1) + timedelta(days=rng.randrange(60)), rng.random() < 0.5)
+    rights = [(i * spread + 500 * abs(spread) * (spread < 0), rng.choice([1, 1, 1, 2]), date(2020, 1, 1) + timedelta(days=rng.randrange(60)), rng.random() < 0.5)
               for i in rng.sample(range(1000), 120)]
-    lefts = [(i, k, i if rng.random() < 0.5 else i + 1, d) for i, k, d, _ in rights]
+    lefts = [(n, k, i if rng.random() < 0.5 else i + 1, d) for n, (i, k, d, _) in enumerate(rights)]
     ldf = spark.createDataFrame(lefts, "lid long, k long, id long, d date")
     rdf = spark.createDataFrame(rights, "id long, k long, rd date, base boolean")
     got = T.count_above_until(
         ldf, rdf, "k", "id", {"ten": F.date_add("d", 10), "thirty": F.date_add("d", 30)}, "rd",
-        [T.count_where("n"), T.count_where("b", F.col("base"))], "lid", pair_limit)
+        [T.count_where("n"), T.count_where("b", F.col("base"))], "lid")
     for r in got.collect():
         for name, days in (("ten", 10), ("thirty", 30)):
             hits = [x for x in rights if x[1] == r.k and x[0] > r.id and x[2] <= r.d + timedelta(days=days)]
@@ -159,3 +160,16 @@ def test_first_event_within(spark):
     end = F.date_add("d", 35)
     got = T.first_event_within(left, right, {"k": "k"}, F.col("d"), "e", end, "nxt", side="after")
     assert {r.k: r.nxt and r.nxt.e for r in got.collect()} == {1: date(2020, 1, 20), 2: None, 3: None}
+
+
+def test_count_above_until_odd_ranks(spark):
+    far = 2**62
+    rights = [(i, 1) for i in (-5, -3, -2, 4, far, -far, far)] + [(None, 1), (7, None), (1, 2)]
+    lefts = [(n, k, i) for n, (i, k) in enumerate([*rights, (-far - 1, 1), (far + 1, 1), (0, 2), (1, 2), (5, 3)])]
+    day = date(2020, 1, 1)
+    ldf = spark.createDataFrame([(*x, day) for x in lefts], "lid long, k long, id long, d date")
+    rdf = spark.createDataFrame([(*x, day) for x in rights], "id long, k long, rd date")
+    got = T.count_above_until(ldf, rdf, "k", "id", {"now": F.col("d")}, "rd", [T.count_where("n")], "lid")
+    for r in got.collect():
+        hits = [x for x in rights if None not in (r.k, r.id, *x) and x[1] == r.k and x[0] > r.id]
+        assert (r.n_now or 0) == len(hits), r
