@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortloom.llm.wordhash import Words, blocks, mix
+from cohortloom.sources.stages import stage
 
 BUCKETS = 1 << 17
 _MARKS = np.frombuffer(b".,;:!?", dtype=np.uint8)
@@ -63,25 +64,19 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float, epochs: int = 30, rate: float = 0.1,
-        sparsity: float = 1e-5, least: int = 5, seed: int = 7) -> Scorer:
-    """Adam on the non-negative risk over shuffled batches of both samples.
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 30, rate: float = 0.1,
+        sparsity: float = 1e-5, seed: int = 7) -> Scorer:
+    """Adam on the non-negative risk over shuffled batches of both samples, given by their features.
 
-    Only features that alone make a text likelier toxic than not are fitted: with the prior,
-    ``prior * P(feature | toxic) / P(feature)`` estimates that chance, and its lower bound must
-    reach one half over at least ``least`` toxic texts. Weights stay at or above zero and shrink
-    by ``sparsity`` (an L1 penalty), so chance features of long texts don't add up."""
+    Weights stay at or above zero and shrink by ``sparsity`` (an L1 penalty), so chance features
+    of long texts don't add up."""
     prior = min(max(prior, 1e-6), 1 - 1e-6)
     bias = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         # Nothing to learn from: everyone gets the prior.
         return Scorer(np.zeros(BUCKETS), bias)
     random = np.random.default_rng(seed)
-    data = [word_features(positive), word_features(unlabelled)]
-    of_toxic, of_any = (np.bincount(np.concatenate(rows), minlength=BUCKETS) for rows in data)
-    sure = np.maximum(of_toxic - np.sqrt(of_toxic), 0) / len(positive)
-    likely = (of_toxic >= least) & (prior * sure >= 0.5 * of_any / len(unlabelled))
-    data = [[i[likely[i]] for i in rows] for rows in data]
+    data = [positive, unlabelled]
     w = np.zeros(BUCKETS + 1)
     w[BUCKETS] = bias
     m, s, step = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), 0
@@ -131,27 +126,71 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def _sample(rows: DataFrame, n: int) -> list[str]:
-    """The texts with the lowest hash; ties by text, so the choice is the same on any cluster."""
-    order = F.xxhash64("text", "id")
-    return [r["text"] for r in rows.select("text", order.alias("h")).orderBy("h", "text").limit(n).collect()]
+def _sample(rows: DataFrame, toxic: DataFrame, positives: int, unlabelled: int) -> DataFrame:
+    """Features of the rows with the lowest hashes: (h, toxic, features).
+
+    Only hashes are sorted and joined. The chosen ones, at most ``positives + unlabelled``,
+    fetch their texts in the next scan, where the texts become features."""
+    hashed = F.xxhash64("text", "id").alias("h")
+    keyed = rows.select("id", hashed)
+    chosen = stage(
+        keyed.join(toxic, "id", "left_semi").orderBy("h").limit(positives).select("h", F.lit(True).alias("toxic"))
+        .unionByName(keyed.orderBy("h").limit(unlabelled).select("h", F.lit(False).alias("toxic"))).distinct(), "chosen")
+
+    def features(batches):
+        for batch in batches:
+            found = word_features(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))],
+                names=["h", "toxic", "features"])
+
+    found = rows.select(hashed, "text").join(F.broadcast(chosen), "h").select("h", "toxic", "text").mapInArrow(
+        features, "h long, toxic boolean, features array<int>")
+    return stage(found.dropDuplicates(["h", "toxic"]), "sample")
+
+
+def _telling(sample: DataFrame, prior: float, toxic_rows: int, other_rows: int, least: int) -> np.ndarray:
+    """Features that alone make a text likelier toxic than not: with the prior,
+    ``prior * P(feature | toxic) / P(feature)`` estimates that chance, and its lower bound must
+    reach one half over at least ``least`` toxic texts. There are at most BUCKETS of them."""
+    counts = sample.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(
+        F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("u"))
+    sure = (F.col("t") - F.sqrt("t")) / toxic_rows
+    chosen = counts.where((F.col("t") >= least) & (prior * sure >= 0.5 * F.col("u") / other_rows))
+    out = np.zeros(BUCKETS, dtype=bool)
+    out[[r["f"] for r in chosen.select("f").collect()]] = True
+    return out
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, folds: int = 5, positives: int = POSITIVES, unlabelled: int = UNLABELLED
+    docs: DataFrame, labels: DataFrame, folds: int = 5, positives: int = POSITIVES, unlabelled: int = UNLABELLED,
+    least: int = 5,
 ) -> Scorer:
     """Fit on documents outside the held-out fold. At most ``positives`` confirmed toxic rows and
-    ``unlabelled`` rows of the whole fold, toxic ones among them, are fitted; the class prior is the toxic share of all labelled
-    rows of the same fold."""
+    ``unlabelled`` rows of the whole fold, toxic ones among them, are fitted; the class prior is the toxic share of all
+    labelled rows of the same fold. Only telling features of the sample reach the driver."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds))
     own = own.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.where(~held_out(F.col("id"), folds))
     share = own.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    toxic = own.where("toxic = 1").select("id")
-    return fit(_sample(rows.join(toxic, "id", "left_semi"), positives),
-               _sample(rows, unlabelled),
-               0.5 if share is None else float(share))
+    prior = 0.5 if share is None else float(share)
+    sample = _sample(rows, own.where("toxic = 1").select("id"), positives, unlabelled)
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
+        return fit([], [], prior)
+    telling = _telling(sample, prior, sizes[True], sizes[False], least)
+
+    def narrow(batches):
+        for batch in batches:
+            lists = [np.asarray(f, dtype=np.int32) for f in batch.column(2).to_pylist()]
+            kept = pa.array([f[telling[f]] for f in lists], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept], names=["h", "toxic", "features"])
+
+    both = {True: [], False: []}
+    for r in sample.mapInArrow(narrow, sample.schema).orderBy("h").collect():
+        both[r["toxic"]].append(np.array(r["features"], dtype=np.int64))
+    return fit(both[True], both[False], prior)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
