@@ -392,8 +392,7 @@ def count_above_until(
     digits: the ranks above r are the right-hand siblings of r's ancestors, so
     each right row is filed under its odd ancestors and each question asks the
     siblings, which is a one-sided lookup again and makes no pairs. A key has as
-    many levels as digits in which its ranks differ; negative ranks sort below
-    positive ones as the sign digit is turned over.
+    many levels as its number of distinct right ranks has digits.
 
     Folds are sums. Rows with a NULL key or rank count nowhere. Output:
     ``{fold}_{limit}`` columns on the left row, which ``anchor`` identifies; NULL
@@ -407,6 +406,16 @@ def count_above_until(
         F.col(anchor).alias("__id"), F.col(by).alias("__k"), F.col(rank).cast("long").alias("__r"),
         *[c.alias(f"__u_{n}") for n, c in limits.items()])
 
+    # Ranks become places among the key's right rows, so that digits, and so levels, are few.
+    known = rights.select("__k", "__r").distinct()
+    place = F.coalesce(F.col("__place"), F.lit(0))
+
+    def placed(df: DataFrame, side: str, shift: int) -> DataFrame:
+        below = lookup(df, known, "__k", F.col("__r"), F.col("__r"), [count_where("__place")], side)
+        return below.withColumn("__r", place + shift).drop("__place")
+
+    rights, asks = placed(rights, "before", 1), placed(asks, "until", 0)
+
     def ends(df: DataFrame, low: str, high: str) -> DataFrame:
         return df.groupBy("__k").agg(F.min("__r").alias(low), F.max("__r").alias(high))
 
@@ -419,9 +428,8 @@ def count_above_until(
     )
 
     def at_levels(df: DataFrame) -> DataFrame:
-        unsigned = F.col("__r").bitwiseXOR(F.lit(-(2**63)))
         return df.join(levels, "__k").withColumn("__level", F.explode("__levels")).withColumn(
-            "__node", F.call_function("shiftrightunsigned", unsigned, F.col("__level"))).drop("__levels", "__r")
+            "__node", F.call_function("shiftright", F.col("__r"), F.col("__level"))).drop("__levels", "__r")
 
     odd = F.col("__node").bitwiseAND(F.lit(1)) == 1
     filed = at_levels(rights).where(odd)
