@@ -6,7 +6,10 @@ encoded apart and their ids laid end to end. Arrow splits the texts and numbers
 their distinct pieces; those are encoded as one text, by the same vocabulary in its
 form as ranks, which gives the same ids where the merges are listed in the order of
 their ids. Texts with two white-space characters in a row are encoded whole, and
-all are where the vocabulary has no such order.
+all are where the vocabulary has no such order. The library's own splitter needs a
+stack as deep as a run of white space is long; the first split makes one word of a
+long run but for its last character (of the whole run at the end of a text), so such
+runs are cut out first and merged as the one word they are.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ BATCH_CHARS = 16 << 20
 _ADJACENT = re.compile(r"\s\s")
 #: Fixed value: the first split of the byte-level vocabulary.
 _SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: white space as that split knows it.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_SPACE = re.compile(f"[{_SPACE}]{{1024,}}")
 _ENCODERS: dict[str, "BytePairEncoder"] = {}
 
 
@@ -73,9 +79,16 @@ class BytePairEncoder:
                 self.lengths[i] = len(token)
 
     def _whole(self, text: str) -> np.ndarray:
-        ids = (self.by_rank.encode_ordinary(text) if self.by_rank
-               else self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return np.array(ids, dtype=np.uint32)
+        if not self.by_rank:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        parts, at = [], 0
+        for run in _LONG_SPACE.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            parts += [self.by_rank.encode_ordinary(text[at:run.start()]),
+                      self.by_rank._encode_single_piece(text[run.start():end].encode())]
+            at = end
+        parts.append(self.by_rank.encode_ordinary(text[at:]))
+        return np.concatenate([np.array(p, dtype=np.uint32) for p in parts])
 
     def _spaced(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, each with one space in front, end to end; how many each has."""

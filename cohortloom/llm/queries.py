@@ -12,18 +12,22 @@ from cohortloom.llm.chat import format_conversations, read_back
 from cohortloom.llm.context_tree import score_documents
 from cohortloom.llm.decontamination import find_leaks
 from cohortloom.llm.epsilon_grid import link_vectors
+from cohortloom.llm.fill_in_middle import digest_documents, transform_pieces
 from cohortloom.llm.minhash import near_duplicates
 from cohortloom.llm.oracles import ORACLES
 from cohortloom.llm.packing import pack_documents
+from cohortloom.llm.pair_alignment import align_documents
+from cohortloom.llm.pair_alignment import score_documents as score_alignment
 from cohortloom.llm.pii import find_personal_data
 from cohortloom.llm.quality import grade_documents
+from cohortloom.llm.sentence_pieces import encode_documents
 from cohortloom.llm.toxicity import score_toxicity
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return os.fspath(public_tokenizers.path("byte_bpe_50k.json"))
+    return os.fspath(public_tokenizers.path(name))
 
 
 def importable(spark: SparkSession) -> None:
@@ -89,6 +93,23 @@ def simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def distinct_chunk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return encoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def inverted_pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align_documents(
+        table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    return score_alignment(aligned).drop("groups")
+
+
+def secondary_sort_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_documents(transform_pieces(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_token_counts": token_counts,
@@ -100,4 +121,7 @@ QUERIES = {
     "op8_context_tree_scores": context_tree_scores,
     "op9_semi_markov_pii": semi_markov_pii,
     "op10_simhash_decontamination": simhash_decontamination,
+    "op11_distinct_chunk_pieces": distinct_chunk_pieces,
+    "op12_inverted_pair_alignment": inverted_pair_alignment,
+    "op13_secondary_sort_fill_in_middle": secondary_sort_fill_in_middle,
 }
