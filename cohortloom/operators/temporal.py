@@ -3,17 +3,18 @@
 Every lookup asks, for each left row, for a min, max or sum over the right rows
 of the same key on one side of a moment (or between two moments). Joining on the
 key and filtering by time would make every pair within a key, and a window over
-the key would put a hot key in one task. Here instead:
-
-1. right rows fold to one row per (key, moment) and questions to the distinct
-   (key, moment) points, both combined map-side, so copies collapse early;
-2. the key's timeline is cut in fixed slices (an hour, a day, a block of ids)
-   and each slice folds to one summary row;
-3. a running fold over the few summaries of a key gives each slice its carry-in;
-4. within (key, slice) one ordered window answers every question.
-
-The largest group in any task is one slice of one key. Answers go back to the
-left rows by an equi-join on (key, moment), whose right side is unique.
+the key would put a hot key in one task.
+
+``lookup`` lays left and right rows in one order of (key, moment) and folds along it, so
+left rows meet their answer where they stand and no join back is needed. Right rows of
+keys that the left side lacks are dropped before the shuffle. A key that owns more than
+a slice's share of the rows is cut in ranges of that order (see ``spread``): each range is
+folded by a task of its own, and the folds of the ranges before it, a few
+thousand summary rows in all, are carried in.
+
+``lookup_between`` folds right rows to one row per (key, moment) and questions to the
+distinct points, cuts the timeline in hours, and answers go back to the left rows by an
+equi-join on (key, moment), whose right side is unique.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
-ID_SLICE_BITS = 16
+from cohortloom.operators.dominance import sums_above_until
+from cohortloom.operators.spread import Spread, measure, present, slice_of
 
 
 @dataclass(frozen=True)
@@ -79,13 +81,9 @@ def count_where(name: str, condition: Column | None = None) -> Fold:
 
 
 # --- shared pieces -----------------------------------------------------------
-def _slice(moment: Column, data_type) -> Column:
-    """Whole hours, days or id blocks since the origin."""
-    if isinstance(data_type, DateType):
-        return F.unix_date(moment).cast("long")
-    if isinstance(data_type, (TimestampType, TimestampNTZType)):
-        return F.unix_date(moment.cast("date")).cast("long") * 24 + F.hour(moment)
-    return F.shiftright(moment.cast("long"), ID_SLICE_BITS)
+def _slice(moment: Column) -> Column:
+    """Whole hours since the origin."""
+    return F.unix_date(moment.cast("date")).cast("long") * 24 + F.hour(moment)
 
 
 def _keys(by) -> list[tuple[str, str]]:
@@ -96,28 +94,35 @@ def _keys(by) -> list[tuple[str, str]]:
     return [(b, b) for b in by]
 
 
-def _as_points(left, right, by, at, time, folds):
-    """Distinct questions and folded right rows, with a common moment type."""
+def _common_type(a, b):
+    """Type in which two moments or keys are compared."""
+    if a == b:
+        return a
+    both = (a, b)
+    if any(isinstance(t, StringType) for t in both):
+        raise TypeError("keys must have one type, and a moment must be a date, a timestamp or a number")
+    for kind in (TimestampType, TimestampNTZType, DateType):
+        if any(isinstance(t, kind) for t in both):
+            return next(t for t in both if isinstance(t, kind))
+    return max(both, key=lambda t: _WIDTH.index(t.typeName()) if t.typeName() in _WIDTH else len(_WIDTH))
+
+
+_WIDTH = ("byte", "short", "integer", "long", "decimal", "float", "double")
+
+
+def _sides(left, right, by, at, time, folds):
+    """Both sides with common key and moment columns ``__k0``.. and ``__t``: all left rows with all
+    their columns; of the right rows those that count, with their fold values."""
     pairs = _keys(by)
     keys = [f"__k{i}" for i in range(len(pairs))]
-    q = left.select(*[F.col(l).alias(k) for (l, _), k in zip(pairs, keys)], at.alias("__t"))
-    r = right.select(
-        *[F.col(r).alias(k) for (_, r), k in zip(pairs, keys)],
-        time.alias("__t"),
-        *[f.value.alias(f.name) for f in folds],
-    )
-    qt, rt = q.schema["__t"].dataType, r.schema["__t"].dataType
-    common = next((t for t in (qt, rt) if not isinstance(t, DateType)), qt)
-    if qt != rt and isinstance(common, StringType):
-        raise TypeError("a moment must be a date, a timestamp or a number")
-    q = q.withColumn("__t", F.col("__t").cast(common))
-    r = r.withColumn("__t", F.col("__t").cast(common))
-
-    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, "__t"]])
+    asked = left.select("*", *[F.col(l).alias(k) for (l, _), k in zip(pairs, keys)], at.alias("__t"))
+    rows = right.select(
+        *[F.col(r).alias(k) for (_, r), k in zip(pairs, keys)], time.alias("__t"), *[f.value.alias(f.name) for f in folds])
+    kinds = {c: _common_type(asked.schema[c].dataType, rows.schema[c].dataType) for c in [*keys, "__t"]}
+    asked = asked.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()})
+    rows = rows.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()})
     wanted = reduce(lambda a, b: a | b, [F.col(f.name).isNotNull() for f in folds])
-    q = q.where(present).distinct()
-    r = r.where(present & wanted).groupBy(*keys, "__t").agg(*[f.over_rows().alias(f.name) for f in folds])
-    return pairs, keys, q, r, common
+    return pairs, keys, asked, rows.where(present([*keys, "__t"]) & wanted), kinds["__t"]
 
 
 def _back_to_left(left, pairs, keys, at, answers, common, folds):
@@ -152,40 +157,82 @@ def lookup(
     time: Column,
     folds: Sequence[Fold],
     side: str = "before",
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Fold the right rows of the same key on one side of each left moment.
 
     ``by`` is a column name, a list of them, or ``{left name: right name}``.
     ``side``: ``before`` (time < at), ``until`` (<=), ``after`` (>), ``from`` (>=).
+    A left row with a NULL key or moment gets NULLs; right rows with one count nowhere.
+    ``slice_rows`` is the least number of rows at which a key is cut (``spread.SLICE_ROWS``).
+    A sum of decimals is as wide as its sums over slices, so it may be typed wider for a heavy key.
     """
     backwards, place = _SIDES[side]
-    pairs, keys, q, r, common = _as_points(left, right, by, at, time, folds)
-    moment, cut = F.col("__t"), F.col("__s")
+    sign = -1 if backwards else 1
+    _, keys, asked, rows, _ = _sides(left, right, by, at, time, folds)
+    spread = measure(asked, rows, keys, slice_rows)
+    rows = spread.prune(rows, asked)
+    names = [f.name for f in folds]
+
+    known = present([*keys, "__t"])
+    # Left rows that ask nothing stand apart from all keys, those of each task by themselves.
+    nowhere = (-1 - F.spark_partition_id()).cast("long")
+    asked = asked.withColumn("__q", F.lit(sign * place))
+    rows = rows.withColumn("__q", F.lit(sign))
+    if spread.has_heavy:
+        asked, rows, carry = _sliced(asked, rows, keys, folds, spread, backwards)
+        asked = asked.withColumn("__s", F.when(known, F.col("__s")).otherwise(nowhere))
+        rows = rows.unionByName(carry)
+    else:
+        asked = asked.withColumn("__s", F.when(known, F.lit(0).cast("long")).otherwise(nowhere))
+        rows = rows.withColumn("__s", F.lit(0).cast("long"))
+
+    along = [F.col("__t").desc_nulls_first(), F.col("__q").desc()] if backwards else [
+        F.col("__t").asc_nulls_first(), F.col("__q").asc()]
+    so_far = Window.partitionBy(*keys, "__s").orderBy(*along).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    points = asked.withColumn("__ask", F.lit(True)).unionByName(rows, allowMissingColumns=True)
+    return (
+        points.withColumns({f.name: f.over_rows().over(so_far) for f in folds})
+        .where("__ask").select(*left.columns, *names)
+    )
 
-    points = r.withColumn("__q", F.lit(1)).unionByName(
-        q.select("*", *[f.empty(r) for f in folds], F.lit(place).alias("__q"))
-    ).withColumn("__s", _slice(moment, common))
 
-    along = cut.desc() if backwards else cut.asc()
+def _sliced(asked, rows, keys, folds, spread: Spread, backwards: bool):
+    """Slice numbers ``__s`` for both sides, and one carry row for each slice of a heavy key: the
+    fold of all right rows in the slices that come before it."""
+    large = spread.heavy_keys()
+    heavy = F.broadcast(large)
+    # Right rows of a heavy key fold to one row per moment first, so that copies can't fill a slice.
+    own = rows.join(heavy, keys, "left_semi").groupBy(*keys, "__t", "__q").agg(
+        *[f.over_rows().alias(f.name) for f in folds])
+    rest = rows.join(heavy, keys, "left_anti")
+    # Questions of one moment are told apart by the task that reads them.
+    asked = asked.withColumn("__h", F.xxhash64(F.spark_partition_id()))
+    own = own.withColumn("__h", F.xxhash64(*keys, "__t"))
+    order = F.struct("__t", "__q", "__h")
+    points = own.select(*keys, "__t", "__q", "__h").unionByName(
+        asked.where(F.col("__t").isNotNull()).join(heavy, keys, "left_semi").select(*keys, "__t", "__q", "__h"))
+    ends = F.broadcast(spread.bounds(large, points, order))
+
+    def cut(df: DataFrame) -> DataFrame:
+        return df.join(ends, keys, "left").withColumn("__s", slice_of(F.col("__ends"), order)).drop(
+            "__h", "__ends")
+
+    asked, own = cut(asked), cut(own)
+    along = F.col("__s").desc() if backwards else F.col("__s").asc()
     earlier = Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    # Every slice of a heavy key, also one without right rows, so that its questions get the carry.
+    slices = ends.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.size("__ends").cast("long"))).alias("__s"))
     carry = (
-        points.groupBy(*keys, "__s")
-        .agg(*[f.over_rows().alias(f.name) for f in folds], F.max(F.col("__q") != 1).alias("__asked"))
+        own.select(*keys, "__s", *[f.name for f in folds])
+        .unionByName(slices, allowMissingColumns=True)
+        .groupBy(*keys, "__s").agg(*[f.over_rows().alias(f.name) for f in folds])
         .withColumns({f.name: f.over_rows().over(earlier) for f in folds})
-        .where(F.col("__asked"))
-        .select(
-            *keys, F.lit(None).cast(common).alias("__t"), *[f.name for f in folds],
-            F.lit(-1).alias("__q"), "__s",
-        )
     )
-    first = moment.desc_nulls_first() if backwards else moment.asc_nulls_first()
-    inside = Window.partitionBy(*keys, "__s").orderBy(first, "__q").rowsBetween(Window.unboundedPreceding, 0)
-    answers = (
-        points.unionByName(carry)
-        .withColumns({f.name: f.over_rows().over(inside) for f in folds})
-        .where(F.col("__q") == place)
-    )
-    return _back_to_left(left, pairs, keys, at, answers, common, folds)
+    # The carry comes first: its moment is NULL.
+    carry = carry.select(*keys, *[f.name for f in folds], F.lit(0).alias("__q"), "__s")
+    every = rest.withColumn("__s", F.lit(0).cast("long")).unionByName(own)
+    return asked, every, carry.withColumn("__t", F.lit(None).cast(every.schema["__t"].dataType))
 
 
 # --- two-sided ---------------------------------------------------------------
@@ -205,7 +252,10 @@ def lookup_between(
     must be two hours or more. It is split at the hour slices it crosses: the
     tail of its first slice, the whole slices between, the head of its last one.
     """
-    pairs, keys, q, r, common = _as_points(left, right, by, at, time, folds)
+    pairs, keys, asked, rows, common = _sides(left, right, by, at, time, folds)
+    rows = measure(asked, rows, keys).prune(rows, asked)
+    q = asked.where(present([*keys, "__t"])).select(*keys, "__t").distinct()
+    r = rows.groupBy(*keys, "__t").agg(*[f.over_rows().alias(f.name) for f in folds])
     if not isinstance(common, (TimestampType, TimestampNTZType)):
         raise TypeError("lookup_between works on timestamps")
     names = [f.name for f in folds]
@@ -214,8 +264,8 @@ def lookup_between(
     q = q.select(*keys, F.col("__t").alias("__ask"),
                  (F.col("__t") + F.expr(f"interval {low}")).alias("__lo"),
                  (F.col("__t") + F.expr(f"interval {high}")).alias("__hi"))
-    q = q.withColumn("__slo", _slice(F.col("__lo"), common)).withColumn("__shi", _slice(F.col("__hi"), common))
-    r = r.withColumn("__s", _slice(F.col("__t"), common))
+    q = q.withColumn("__slo", _slice(F.col("__lo"))).withColumn("__shi", _slice(F.col("__hi")))
+    r = r.withColumn("__s", _slice(F.col("__t")))
 
     nothing = [f.empty(r) for f in folds]
     no_time = F.lit(None).cast(common)
@@ -384,69 +434,10 @@ def count_above_until(
     time: str,
     folds: Sequence[Fold],
     anchor: str,
+    slice_rows: int | None = None,
 ) -> DataFrame:
-    """For each left row and limit: folds over right rows of the same key with
-    ``rank`` above its own *and* ``time`` at or before the limit.
-
-    Two orders at once cannot be one running fold. Ranks are read as binary
-    digits: the ranks above r are the right-hand siblings of r's ancestors, so
-    each right row is filed under its odd ancestors and each question asks the
-    siblings, which is a one-sided lookup again and makes no pairs. A key has as
-    many levels as its number of distinct right ranks has digits.
-
-    Folds are sums. Rows with a NULL key or rank count nowhere. Output:
-    ``{fold}_{limit}`` columns on the left row, which ``anchor`` identifies; NULL
-    where no right row counts.
-    """
-    outs = [(f, limit, f"{f.name}_{limit}") for limit in limits for f in folds]
-    rights = right.where(F.col(by).isNotNull() & F.col(rank).isNotNull() & F.col(time).isNotNull()).select(
-        F.col(by).alias("__k"), F.col(rank).cast("long").alias("__r"), F.col(time).alias("__t"),
-        *[f.value.alias(f.name) for f in folds])
-    asks = left.where(F.col(by).isNotNull() & F.col(rank).isNotNull()).select(
-        F.col(anchor).alias("__id"), F.col(by).alias("__k"), F.col(rank).cast("long").alias("__r"),
-        *[c.alias(f"__u_{n}") for n, c in limits.items()])
-
-    # Ranks become places among the key's right rows, so that digits, and so levels, are few.
-    known = rights.select("__k", "__r").distinct()
-    place = F.coalesce(F.col("__place"), F.lit(0))
-
-    def placed(df: DataFrame, side: str, shift: int) -> DataFrame:
-        below = lookup(df, known, "__k", F.col("__r"), F.col("__r"), [count_where("__place")], side)
-        return below.withColumn("__r", place + shift).drop("__place")
-
-    rights, asks = placed(rights, "before", 1), placed(asks, "until", 0)
-
-    def ends(df: DataFrame, low: str, high: str) -> DataFrame:
-        return df.groupBy("__k").agg(F.min("__r").alias(low), F.max("__r").alias(high))
-
-    # Only keys with a right row above some question have levels at all.
-    differing = F.bin(F.col("__a").bitwiseXOR(F.col("__z")))
-    levels = (
-        ends(asks, "__a", "__x").join(ends(rights, "__y", "__z"), "__k").where("__a < __z")
-        .select("__k", F.least("__a", "__y").alias("__a"), F.greatest("__x", "__z").alias("__z"))
-        .select("__k", F.sequence(F.lit(0), F.length(differing) - 1).alias("__levels"))
-    )
-
-    def at_levels(df: DataFrame) -> DataFrame:
-        return df.join(levels, "__k").withColumn("__level", F.explode("__levels")).withColumn(
-            "__node", F.call_function("shiftright", F.col("__r"), F.col("__level"))).drop("__levels", "__r")
-
-    odd = F.col("__node").bitwiseAND(F.lit(1)) == 1
-    filed = at_levels(rights).where(odd)
-    until = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("limit"), F.col(f"__u_{n}").alias("until")) for n in limits]))
-    questions = (
-        at_levels(asks).where(~odd).withColumn("__node", F.col("__node").bitwiseOR(F.lit(1)))
-        .withColumn("__q", until)
-        .select("__id", "__k", "__level", "__node", F.col("__q.limit").alias("__limit"), F.col("__q.until").alias("__until"))
-    )
-    sums = [Fold(f.name, "sum", F.col(f.name)) for f in folds]
-    answers = (
-        lookup(questions, filed, ["__k", "__level", "__node"], F.col("__until"), F.col("__t"), sums, "until")
-        .groupBy("__id")
-        .agg(*[F.sum(F.when(F.col("__limit") == limit, F.col(f.name))).alias(out) for f, limit, out in outs])
-    )
-    return (
-        left.join(answers, left[anchor] == answers["__id"], "left")
-        .select(*left.columns, *[out for _, _, out in outs])
-    )
+    """For each left row and limit: sums over right rows of the same key with ``rank`` above
+    its own *and* ``time`` at or before the limit, as ``{fold}_{limit}`` (see ``dominance``)."""
+    if any(f.kind != "sum" for f in folds):
+        raise ValueError("only sums can be folded over two orders at once")
+    return sums_above_until(left, right, by, rank, limits, time, {f.name: f.value for f in folds}, anchor, slice_rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -21,7 +22,8 @@ from cohortloom.operators.quality import drift_report
 from cohortloom.plans import fee_marts, model_table, outcome_tables
 from cohortloom.plans.reports import REPORTS
 from cohortloom.session import configure
-from cohortloom.sources.stages import stage
+from cohortloom.sources.marts import publish_mart, read_mart
+from cohortloom.sources.stages import stage, stage_folder
 from registry.edge import plain
 from registry.views import catalog, raw
 
@@ -423,16 +425,43 @@ def all_customer_net_fees(spark, folder):
     return out.withColumn("net_fees", F.round("net_fees", 2))
 
 
-def _one_fee_per_month(s):
-    """A curve with one row per (customer, month), as the lookup demands."""
-    return _switched(s).select("customer_id", "month_calculated", "net_fees")
+def _fee_mart(s):
+    """Both platforms' curve: one row per (customer, month), as the lookup demands."""
+    return _merged(s).select("customer_id", "month_calculated", "net_fees")
+
+
+def _fee_loans(s):
+    return s["loans"].select(F.col("id").alias("loan_id"), "customer_id", "funding_date_actual")
 
 
 @query
 def horizon_fee_lookup(spark, folder):
     s = catalog(spark, folder)
-    base = s["loans"].select(F.col("id").alias("loan_id"), "customer_id", "funding_date_actual")
-    return C.horizon_fee_lookup(base, _one_fee_per_month(s), AS_OF).drop("customer_id", "funding_date_actual")
+    return C.horizon_fee_lookup(_fee_loans(s), _fee_mart(s), AS_OF).drop("customer_id", "funding_date_actual")
+
+
+def _mart_folder(spark, name):
+    return f"{stage_folder(spark)}/marts-{uuid.uuid4().hex}/{name}"
+
+
+@query
+def horizon_fee_lookup_keyed(spark, folder):
+    """The same from published marts keyed by customer: neither side is shuffled by the lookup."""
+    s = catalog(spark, folder)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    loans = publish_mart(_fee_loans(s), _mart_folder(spark, "loans"), key="customer_id", buckets=buckets)
+    fees = publish_mart(_fee_mart(s), _mart_folder(spark, "fees"), key="customer_id", buckets=buckets)
+    return C.horizon_fee_lookup(loans, fees, AS_OF).drop("customer_id", "funding_date_actual")
+
+
+@query
+def mart_roundtrip(spark, folder):
+    """A published fee mart and the version that a build makes of it, reading what it replaces."""
+    path = _mart_folder(spark, "fees")
+    first = publish_mart(_fee_mart(catalog(spark, folder)), path, partition_by="month_calculated")
+    second = publish_mart(read_mart(spark, path).where("month_calculated % 2 = 0"), path, partition_by="month_calculated")
+    both = first.withColumn("version", F.lit(1)).unionByName(second.withColumn("version", F.lit(2)))
+    return both.groupBy("month_calculated", "version").agg(F.count(F.lit(1)).alias("n"), F.sum("net_fees").alias("net_fees"))
 
 
 # --- outcomes ----------------------------------------------------------------
@@ -516,7 +545,7 @@ def _model_table(spark, folder, product):
     loan_type = "payday" if p.outcome_table == "payday_outcomes" else p.loan_type
     s = s.with_tables(**{
         p.outcome_table: stage(build(s, OUTCOMES_FROM, OUTCOMES_TO, loan_type, keep=stage), p.outcome_table),
-        "all_customer_net_fees": stage(_one_fee_per_month(s), "fees"),
+        "all_customer_net_fees": stage(_fee_mart(s), "fees"),
     })
     return model_table.build_model_table(p, s, SINCE, AS_OF)
 

@@ -60,16 +60,65 @@ def answers(df):
     return {r[0]: tuple(r)[1:] for r in rows}
 
 
+@pytest.mark.parametrize("slice_rows", [None, 12])
 @pytest.mark.parametrize("side,test", [
     ("before", lambda r, t: r < t), ("until", lambda r, t: r <= t),
     ("after", lambda r, t: r > t), ("from", lambda r, t: r >= t),
 ])
-def test_lookup_equals_brute_force(data, side, test):
+def test_lookup_equals_brute_force(data, side, test, slice_rows):
     left, right, ldf, rdf = data
-    got = answers(T.lookup(ldf, rdf, "k", F.col("t"), F.col("rt"), folds(), side))
+    got = answers(T.lookup(ldf, rdf, "k", F.col("t"), F.col("rt"), folds(), side, slice_rows))
     assert got == brute(left, right, test)
 
 
+def rows_of_largest_task(df):
+    """Most rows that one partition of the last shuffle holds before the answers are cut out."""
+    return max(r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+
+
+@pytest.mark.parametrize("backwards", [False, True])
+def test_one_key_of_random_ids_within_an_hour_is_spread(spark, backwards):
+    """One key, random 63-bit ids as moments in one case, moments of one hour in the other."""
+    n = 20_000
+    ids = F.xxhash64("id").bitwiseAND(F.lit(2**63 - 1))
+    hour = F.expr("timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, pmod(xxhash64(id), 3600000000) / 1000000)")
+    for moment in (ids, hour):
+        rows = spark.range(n).select(F.lit(1).alias("k"), moment.alias("m"), F.col("id").alias("v"))
+        left = rows.where("v % 3 = 0").select("k", "m", F.col("v").alias("lid"))
+        got = T.lookup(left, rows, "k", F.col("m"), F.col("m"), [T.count_where("n")], "after" if backwards else "before", 500)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            held = got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))
+            assert held.agg(F.max("n")).first()[0] < n / 3 / 3
+        finally:
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        places = {r["m"]: i for i, r in enumerate(sorted(rows.collect(), key=lambda r: r["m"]))}
+        for r in got.collect():
+            want = n - 1 - places[r["m"]] if backwards else places[r["m"]]
+            assert (r["n"] or 0) == want
+
+
+def test_keys_are_filtered_below_the_first_exchange(data, monkeypatch):
+    """By their hashes where they are few, by the words of a Bloom filter where they are many."""
+    left, right, ldf, rdf = data
+    for few in (True, False):
+        if not few:
+            monkeypatch.setattr("cohortloom.operators.spread.FILTER_ROWS", 2)
+        got = T.lookup(ldf, rdf, "k", F.col("t"), F.col("rt"), folds(), "until")
+        plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+        joins = [i for i, line in enumerate(plan) if "BroadcastHashJoin" in line and "__" in line]
+        shuffles = [i for i, line in enumerate(plan) if "Exchange hashpartitioning(__k0" in line]
+        assert joins and len(shuffles) == 1 and min(joins) > shuffles[0]
+        assert answers(got) == brute(left, right, lambda r, t: r <= t)
+
+
+def test_lookup_of_nothing(data):
+    left, right, ldf, rdf = data
+    none = T.lookup(ldf, rdf.limit(0), "k", F.col("t"), F.col("rt"), folds())
+    assert none.count() == len(left) and none.where("top is not null or amount_sum is not null").count() == 0
+    assert T.lookup(ldf.limit(0), rdf, "k", F.col("t"), F.col("rt"), folds()).count() == 0
+
+
 @pytest.mark.parametrize("low,high", [("-3 days", "30 minutes"), ("-2 hours", "0 minutes"), ("-1 hours", "90 minutes")])
 def test_lookup_between_equals_brute_force(data, low, high):
     left, right, ldf, rdf = data
@@ -97,8 +146,9 @@ def test_date_meets_timestamp_at_midnight(spark):
     assert {r.lid: r.n for r in got.collect()} == {1: None, 2: 1}
 
 
+@pytest.mark.parametrize("slice_rows", [None, 10])
 @pytest.mark.parametrize("spread", [1, 10**12, -(10**15)])
-def test_count_above_until(spark, spread):
+def test_count_above_until(spark, spread, slice_rows):
     """Dense, sparse and negative ids; one key holds three quarters of the rows."""
     rng = random.Random(3)
     rights = [(i * spread + 500 * abs(spread) * (spread < 0), rng.choice([1, 1, 1, 2]), date(2020, 1, 1) + timedelta(days=rng.randrange(60)), rng.random() < 0.5)
@@ -108,8 +158,10 @@ def test_count_above_until(spark, spread):
     rdf = spark.createDataFrame(rights, "id long, k long, rd date, base boolean")
     got = T.count_above_until(
         ldf, rdf, "k", "id", {"ten": F.date_add("d", 10), "thirty": F.date_add("d", 30)}, "rd",
-        [T.count_where("n"), T.count_where("b", F.col("base"))], "lid")
-    for r in got.collect():
+        [T.count_where("n"), T.count_where("b", F.col("base"))], "lid", slice_rows)
+    rows = got.collect()
+    assert sorted(r.lid for r in rows) == list(range(120))
+    for r in rows:
         for name, days in (("ten", 10), ("thirty", 30)):
             hits = [x for x in rights if x[1] == r.k and x[0] > r.id and x[2] <= r.d + timedelta(days=days)]
             assert (r[f"n_{name}"] or 0) == len(hits)
@@ -162,14 +214,37 @@ def test_first_event_within(spark):
     assert {r.k: r.nxt and r.nxt.e for r in got.collect()} == {1: date(2020, 1, 20), 2: None, 3: None}
 
 
-def test_count_above_until_odd_ranks(spark):
+@pytest.mark.parametrize("slice_rows", [None, 3])
+def test_count_above_until_odd_ranks(spark, slice_rows):
     far = 2**62
     rights = [(i, 1) for i in (-5, -3, -2, 4, far, -far, far)] + [(None, 1), (7, None), (1, 2)]
     lefts = [(n, k, i) for n, (i, k) in enumerate([*rights, (-far - 1, 1), (far + 1, 1), (0, 2), (1, 2), (5, 3)])]
     day = date(2020, 1, 1)
     ldf = spark.createDataFrame([(*x, day) for x in lefts], "lid long, k long, id long, d date")
     rdf = spark.createDataFrame([(*x, day) for x in rights], "id long, k long, rd date")
-    got = T.count_above_until(ldf, rdf, "k", "id", {"now": F.col("d")}, "rd", [T.count_where("n")], "lid")
+    got = T.count_above_until(ldf, rdf, "k", "id", {"now": F.col("d")}, "rd", [T.count_where("n")], "lid", slice_rows)
     for r in got.collect():
         hits = [x for x in rights if None not in (r.k, r.id, *x) and x[1] == r.k and x[0] > r.id]
         assert (r.n_now or 0) == len(hits), r
+
+
+def test_sums_above_until_of_timestamps_and_text_keys(spark):
+    rng = random.Random(9)
+    rights = [(rng.choice("abc"), rng.randrange(30), moments(rng), rng.choice([None, 1, -5, 7])) for _ in range(200)]
+    lefts = [(n, rng.choice(["a", "b", "z", None]), rng.choice([None, *range(30)]), rng.choice([None, moments(rng)])) for n in range(80)]
+    ldf = spark.createDataFrame(lefts, "lid long, k string, r long, t timestamp_ntz")
+    rdf = spark.createDataFrame(rights, "k string, r long, rt timestamp_ntz, v long")
+    for slice_rows in (None, 15):
+        got = T.count_above_until(ldf, rdf, "k", "r", {"x": F.col("t")}, "rt", [T.total("v_sum", F.col("v"))], "lid", slice_rows)
+        rows = got.collect()
+        assert len(rows) == len(lefts)
+        for row in rows:
+            hits = [v for k, r, t, v in rights if None not in (row.k, row.r, row.t, v) and k == row.k and r > row.r and t <= row.t]
+            assert row.v_sum_x == (sum(hits) if hits else None)
+    assert T.count_above_until(ldf, rdf.limit(0), "k", "r", {"x": F.col("t")}, "rt", [T.total("v", F.col("v"))], "lid").where(
+        "v_x is not null").count() == 0
+
+
+def test_only_sums_fold_over_two_orders(data):
+    with pytest.raises(ValueError):
+        T.count_above_until(data[2], data[3], "k", "lid", {"x": F.col("t")}, "rt", [T.pick_max("m", "id")], "lid")
