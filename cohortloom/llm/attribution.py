@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortloom.llm.bytepair import BATCH_CHARS, encoder
-from cohortloom.llm.wordhash import blocks
+from cohortloom.llm.bytepair import BATCH_BYTES, encoder
+from cohortloom.llm.slices import by_bytes
 
 RULES = ("first", "last")
 _LENGTHS: dict[str, np.ndarray] = {}
@@ -88,22 +88,21 @@ def count_section_tokens(
     def count(batches):
         coder = encoder(tokenizer)
         lengths = _byte_lengths(tokenizer, coder.tokenizer)
-        for batch in batches:
+        for batch in by_bytes(batches, 1, BATCH_BYTES):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in blocks(texts, BATCH_CHARS):
-                rows, columns = [], [[] for _ in range(6)]
-                for i, ids in enumerate(coder.encode(texts[a:b]), a):
-                    sections = line_sections(texts[i])
-                    owned, crossing = attribute(texts[i], ids, lengths, sections, rule)
-                    n = len(sections)
-                    rows.append(np.full(n, i))
-                    for column, values in zip(columns, (
-                            np.arange(n), sections, np.append(sections[1:], len(texts[i])), owned, crossing,
-                            np.full(n, len(ids)))):
-                        column.append(values)
-                arrays = [batch.column(0).take(pa.array(np.concatenate(rows)))]
-                arrays.append(pa.array(np.concatenate(columns[0]).astype(np.int32)))
-                arrays += [pa.array(np.concatenate(c).astype(np.int64)) for c in columns[1:]]
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+            rows, columns = [], [[] for _ in range(6)]
+            for i, ids in enumerate(coder.encode(texts)):
+                sections = line_sections(texts[i])
+                owned, crossing = attribute(texts[i], ids, lengths, sections, rule)
+                n = len(sections)
+                rows.append(np.full(n, i))
+                for column, values in zip(columns, (
+                        np.arange(n), sections, np.append(sections[1:], len(texts[i])), owned, crossing,
+                        np.full(n, len(ids)))):
+                    column.append(values)
+            arrays = [batch.column(0).take(pa.array(np.concatenate(rows)))]
+            arrays.append(pa.array(np.concatenate(columns[0]).astype(np.int32)))
+            arrays += [pa.array(np.concatenate(c).astype(np.int64)) for c in columns[1:]]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return docs.select(F.col(id_column), F.col(text_column)).mapInArrow(count, schema)

@@ -22,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Characters encoded together: enough for words to repeat, and a few hundred MB at most.
-BATCH_CHARS = 16 << 20
+#: Bytes of text encoded together: enough for words to repeat, and about a hundred MB at most.
+BATCH_BYTES = 4 << 20
 _ADJACENT = re.compile(r"\s\s")
 #: Fixed value: the first split of the byte-level vocabulary.
 _SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

@@ -4,7 +4,8 @@ Unit vectors with cosine c lie sqrt(2 - 2c) apart, so a cosine threshold is a
 distance epsilon. The leading principal directions of all vectors span a grid with
 cells of that width; sorted by their cells (the epsilon grid order), vectors form a
 sequence that is cut in pages. Two pages can only hold a pair if the boxes around
-them lie within epsilon, so pages meet by neighbouring cells and by their boxes, and
+them lie within epsilon, so pages meet by neighbouring cells and by their boxes. Vectors
+travel by tiles of neighbouring pages, once for every pair of tiles, and
 inside a task two pages are halved again and again, skipping halves whose boxes
 are too far apart, down to small blocks that are compared in double precision.
 
@@ -18,7 +19,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,8 @@ DIRECTIONS = 8
 PREFIX = 2
 PAGE = 256
 LEAF = 32
+#: Vectors of a tile, about.
+TILE = 16 * PAGE
 _SLACK = 1e-6
 
 
@@ -54,11 +57,12 @@ def _directions(vectors: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]
     """Mean and leading principal directions of all unit vectors. Each task sends sums of fixed
     size, which Spark adds up."""
     def sums(batches):
+        both = np.zeros(1 + width + width * width)
         for batch in batches:
             x = _unit(_matrix(batch.column(0), width))
-            both = np.concatenate(([float(len(x))], x.sum(axis=0), (x.T @ x).ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(both))), pa.array(both)], names=["k", "v"])
+            both += np.concatenate(([float(len(x))], x.sum(axis=0), (x.T @ x).ravel()))
+        if both[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(both))), pa.array(both)], names=["k", "v"])
 
     rows = vectors.select("v").mapInArrow(sums, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
     flat = np.zeros(1 + width + width * width)
@@ -145,14 +149,15 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.95, id_column: str = "vec
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = placed.repartitionByRange(parts, "dim", *cells, "node").sortWithinPartitions("dim", *cells, "node")
     page_type = T.StructType([
-        T.StructField("page", T.StringType()), T.StructField("dim", T.IntegerType()),
+        T.StructField("page", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("first", T.LongType()),
+        T.StructField("dim", T.IntegerType()),
         *[T.StructField(f"p{k}", T.IntegerType()) for k in range(PREFIX)],
         T.StructField("low", T.ArrayType(T.DoubleType())), T.StructField("high", T.ArrayType(T.DoubleType())),
         T.StructField("nodes", T.ArrayType(id_type)), T.StructField("copies", T.ArrayType(T.LongType())),
         T.StructField("vectors", T.BinaryType())])
 
     def cut(batches):
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             x = _unit(_matrix(batch.column(0), width))
             at = (x - mean) @ axes
@@ -163,19 +168,25 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.95, id_column: str = "vec
             out = []
             for s, e in bounds:
                 out.append({
-                    "page": f"{part}-{number}", "dim": int(keys[s, 0]), **{f"p{k}": int(keys[s, 1 + k]) for k in range(PREFIX)},
+                    "page": f"{part}-{number}", "part": part, "first": before + s, "dim": int(keys[s, 0]), **{f"p{k}": int(keys[s, 1 + k]) for k in range(PREFIX)},
                     "low": at[s:e].min(axis=0).tolist(), "high": at[s:e].max(axis=0).tolist(),
                     "nodes": batch.column(2).slice(s, e - s).to_pylist(), "copies": batch.column(3).slice(s, e - s).to_pylist(),
                     "vectors": x[s:e].tobytes()})
                 number += 1
+            before += len(x)
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
-                    ("page", pa.string()), ("dim", pa.int32()), *[(f"p{k}", pa.int32()) for k in range(PREFIX)],
+                    ("page", pa.string()), ("part", pa.int32()), ("first", pa.int64()), ("dim", pa.int32()), *[(f"p{k}", pa.int32()) for k in range(PREFIX)],
                     ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())),
                     ("nodes", pa.list_(batch.schema.field(2).type)), ("copies", pa.list_(pa.int64())),
                     ("vectors", pa.binary())]))
 
     pages = stage(ordered.mapInArrow(cut, page_type), "pages")
+    # Where each part begins in the whole sequence: one row per part, and so the tile of each page.
+    sizes = pages.groupBy("part").agg(F.sum(F.size("nodes")).alias("size"))
+    begins = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tiles = stage(pages.select("page", "part", "first").join(sizes.select("part", begins.alias("begins")), "part").select(
+        "page", F.floor((F.col("begins") + F.col("first")) / TILE).alias("tile")), "tiles")
     prefix = [f"p{k}" for k in range(PREFIX)]
     steps = F.array(*[F.struct(*[F.lit(x).alias(f"p{k}") for k, x in enumerate(move)])
                       for move in itertools.product((-1, 0, 1), repeat=PREFIX)])
@@ -187,37 +198,50 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.95, id_column: str = "vec
                for k in range(DIRECTIONS)), F.lit(0.0))
     limit = epsilon * epsilon + _SLACK
     close = a.join(b, ["dim", *prefix]).where((F.col("a") <= F.col("b")) & (gap <= limit)).select("a", "b")
-    held = pages.select("page", "dim", "nodes", "copies", "vectors")
-    both = close.join(held.select(F.col("page").alias("a"), "dim", F.col("nodes").alias("a_nodes"),
-                                  F.col("copies").alias("a_copies"), F.col("vectors").alias("a_vectors")), "a").join(
-        held.select(F.col("page").alias("b"), F.col("nodes").alias("b_nodes"), F.col("copies").alias("b_copies"),
-                    F.col("vectors").alias("b_vectors")), "b")
+    # Pages meet by tiles, runs of neighbouring pages: every page goes to a pair of tiles once, however
+    # many pairs of pages the two have, and a task holds the pages of two tiles.
+    close = stage(
+        close.join(tiles.select(F.col("page").alias("a"), F.col("tile").alias("ta")), "a")
+        .join(tiles.select(F.col("page").alias("b"), F.col("tile").alias("tb")), "b"), "close")
+    wanted = close.select(F.col("ta").alias("x"), F.col("tb").alias("y"), F.explode(F.array("a", "b")).alias("page")).distinct()
+    held = wanted.join(pages.select("page", "nodes", "copies", "vectors"), "page")
 
-    def join(batches):
+    def join(near: pa.Table, given: pa.Table) -> pa.Table:
         """Per pair of pages: for each node how many rows of the other page it is linked to, and one
         link to the smallest node that the pair connects it with."""
-        for batch in batches:
-            kind = batch.schema.field("a_nodes").type.value_type
-            for r in batch.to_pylist():
-                same = r["a"] == r["b"]
-                x = np.frombuffer(r["a_vectors"]).reshape(-1, width)
-                y = np.frombuffer(r["b_vectors"]).reshape(-1, width)
-                i, j = join_sequences(x, y, (x - mean) @ axes, (y - mean) @ axes, limit, cosine, same)
-                if not len(i):
-                    continue
-                n, m = len(x), len(y)
-                counts_a = np.bincount(i, weights=np.array(r["b_copies"])[j], minlength=n)
-                counts_b = np.bincount(j, weights=np.array(r["a_copies"])[i], minlength=m)
-                ids = [*r["a_nodes"], *([] if same else r["b_nodes"])]
-                counts = counts_a + counts_b if same else np.concatenate((counts_a, counts_b))
-                root = _roots(i, j if same else j + n, len(ids), ids)
-                hit = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[h] for h in hit], kind), pa.array([ids[root[h]] for h in hit], kind),
-                     pa.array(counts[hit].astype(np.int64))],
-                    names=["node", "other", "n"])
-
-    linked = stage(both.mapInArrow(join, T.StructType([
+        place = {p: i for i, p in enumerate(given.column("page").to_pylist())}
+        nodes, copies = given.column("nodes"), given.column("copies")
+        kind = given.schema.field("nodes").type.value_type
+        at = {}
+
+        def page(name):
+            if name not in at:
+                i = place[name]
+                x = np.frombuffer(given.column("vectors")[i].as_py()).reshape(-1, width)
+                at[name] = nodes[i].as_py(), np.array(copies[i].as_py()), x, (x - mean) @ axes
+            return at[name]
+
+        made = [[], [], []]
+        for a, b in zip(near.column("a").to_pylist(), near.column("b").to_pylist()):
+            same = a == b
+            a_nodes, a_copies, x, x_at = page(a)
+            b_nodes, b_copies, y, y_at = page(b)
+            i, j = join_sequences(x, y, x_at, y_at, limit, cosine, same)
+            if not len(i):
+                continue
+            n, m = len(x), len(y)
+            counts_a = np.bincount(i, weights=b_copies[j], minlength=n)
+            counts_b = np.bincount(j, weights=a_copies[i], minlength=m)
+            ids = [*a_nodes, *([] if same else b_nodes)]
+            counts = counts_a + counts_b if same else np.concatenate((counts_a, counts_b))
+            root = _roots(i, j if same else j + n, len(ids), ids)
+            hit = np.flatnonzero(counts)
+            made[0] += [ids[h] for h in hit]
+            made[1] += [ids[root[h]] for h in hit]
+            made[2] += counts[hit].astype(np.int64).tolist()
+        return pa.table([pa.array(made[0], kind), pa.array(made[1], kind), pa.array(made[2], pa.int64())], names=["node", "other", "n"])
+
+    linked = stage(close.groupBy("ta", "tb").cogroup(held.groupBy("x", "y")).applyInArrow(join, T.StructType([
         T.StructField("node", id_type), T.StructField("other", id_type), T.StructField("n", T.LongType())])), "linked")
     # One id with several vectors is one node of the groups.
     first = sound.join(nodes.select("v", "node"), "v").select("id", "node", "v")
@@ -228,7 +252,9 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.95, id_column: str = "vec
     known = nodes.select("v", "node", "copies").join(counted, "node", "left").join(groups, "node", "left").select(
         "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "node").alias("component"))
-    joined = rows.join(known, "v", "left")
+    # Rows without a vector meet nothing and stay out of the join.
+    joined = rows.where("v is not null").join(known, "v", "left").select("id", "n_links", "component").unionByName(
+        rows.where("v is null").select("id"), allowMissingColumns=True)
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return joined.select(
         F.col("id").alias(id_column), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

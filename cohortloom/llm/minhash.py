@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortloom.llm.graph import components
+from cohortloom.llm.slices import by_bytes
 from cohortloom.llm.wordhash import mix, shingle_sets
 from cohortloom.sources.stages import stage
 
@@ -76,7 +77,7 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 
 def _sign(batches, size: int):
-    for batch in batches:
+    for batch in by_bytes(batches, 1):
         texts = [t or "" for t in batch.column(1).to_pylist()]
         sets = shingle_sets(texts, size)
         signatures = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, BANDS, ROWS), dtype=np.uint32)
@@ -89,7 +90,8 @@ def _sign(batches, size: int):
 
 def _confirm(batches, size: int, percent: int):
     """Pairs whose full sets reach the threshold. A text that isn't the one its node stands for is passed over."""
-    for batch in batches:
+    # Texts of a pair are of like length: one side's bytes measure both.
+    for batch in by_bytes(batches, 3):
         a, b = batch.column("a"), batch.column("b")
         left = shingle_sets(batch.column("a_text").to_pylist(), size)
         right = shingle_sets(batch.column("b_text").to_pylist(), size)
@@ -145,7 +147,8 @@ def near_duplicates(
         held = held.select("node", F.col("s1").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
         x = held.select(F.col("node").alias("a"), F.col("key").alias("a_key"), F.col("text").alias("a_text"))
         y = held.select(F.col("node").alias("b"), F.col("key").alias("b_key"), F.col("text").alias("b_text"))
-        return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(
+        return pairs.select("a", "b").join(x, "a").join(y, "b").select(
+            "a", "b", "a_key", "a_text", "b_key", "b_text").mapInArrow(
             lambda batches: _confirm(batches, shingle_words, percent),
             T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)]))
 

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortloom.llm.bytepair import BATCH_CHARS, encoder
-from cohortloom.llm.wordhash import blocks
+from cohortloom.llm.bytepair import BATCH_BYTES, encoder
+from cohortloom.llm.slices import by_bytes
 from cohortloom.sources.stages import stage
 
 
@@ -117,31 +117,29 @@ def _pieces(batches, path: str, capacity: int, id_type: pa.DataType):
     """Pieces of each document, numbered within this task among those of their size."""
     coder, seen = encoder(path), np.zeros(capacity + 1, dtype=np.int64)
     part = TaskContext.get().partitionId()
-    for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for a, b in blocks(texts, BATCH_CHARS):
-            row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(coder.encode(texts[a:b]), a):
-                whole = np.append(ids, np.uint32(0)).astype("<u4")
-                edges = [0, *range(len(whole) % capacity or capacity, len(whole) + 1, capacity)]
-                for k in range(len(edges) - 1):
-                    row.append(i)
-                    piece.append(k)
-                    start.append(edges[k])
-                    length.append(edges[k + 1] - edges[k])
-                    crc.append(zlib.crc32(whole[edges[k]:edges[k + 1]].tobytes()))
-            sizes = np.array(length, dtype=np.int64)
-            order = np.argsort(sizes, kind="stable")
-            ordered = sizes[order]
-            rank = np.empty(len(sizes), dtype=np.int64)
-            rank[order] = np.arange(len(sizes)) - np.searchsorted(ordered, ordered)
-            rank += seen[sizes]
-            seen += np.bincount(sizes, minlength=capacity + 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())).cast(id_type), pa.array(piece, pa.int32()),
-                 pa.array(start, pa.int64()), pa.array(sizes), pa.array(crc, pa.int64()),
-                 pa.array(np.full(len(sizes), part, dtype=np.int64)), pa.array(rank)],
-                names=["id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+    for batch in by_bytes(batches, 1, BATCH_BYTES):
+        row, piece, start, length, crc = [], [], [], [], []
+        for i, ids in enumerate(coder.encode([t or "" for t in batch.column(1).to_pylist()])):
+            whole = np.append(ids, np.uint32(0)).astype("<u4")
+            edges = [0, *range(len(whole) % capacity or capacity, len(whole) + 1, capacity)]
+            for k in range(len(edges) - 1):
+                row.append(i)
+                piece.append(k)
+                start.append(edges[k])
+                length.append(edges[k + 1] - edges[k])
+                crc.append(zlib.crc32(whole[edges[k]:edges[k + 1]].tobytes()))
+        sizes = np.array(length, dtype=np.int64)
+        order = np.argsort(sizes, kind="stable")
+        ordered = sizes[order]
+        rank = np.empty(len(sizes), dtype=np.int64)
+        rank[order] = np.arange(len(sizes)) - np.searchsorted(ordered, ordered)
+        rank += seen[sizes]
+        seen += np.bincount(sizes, minlength=capacity + 1)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(row, pa.int64())).cast(id_type), pa.array(piece, pa.int32()),
+             pa.array(start, pa.int64()), pa.array(sizes), pa.array(crc, pa.int64()),
+             pa.array(np.full(len(sizes), part, dtype=np.int64)), pa.array(rank)],
+            names=["id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
 
 def _seat(batches, table: np.ndarray):

@@ -21,6 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortloom.llm.slices import by_bytes
+from cohortloom.sources.stages import stage
+
 KINDS = ("email", "ip", "card", "phone")
 #: Most words of an entity.
 LONGEST = 5
@@ -265,9 +268,12 @@ def fit(texts: list[str], epochs: int = 12, rate: float = 0.1, ridge: float = 1e
 
 
 def train(docs: DataFrame, fitted: int = FITTED) -> SpanField:
-    """Fit on at most ``fitted`` documents that hold a digit or an at sign, those of lowest hash."""
-    rows = docs.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("h"))
-    return fit([r["text"] for r in rows.orderBy("h", "text").limit(fitted).collect()])
+    """Fit on at most ``fitted`` different documents that hold a digit or an at sign, those of lowest
+    hash. Only hashes are sorted; the next scan fetches the texts of the chosen ones."""
+    hashed = docs.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("h"))
+    chosen = stage(hashed.select("h").distinct().orderBy("h").limit(fitted), "chosen")
+    rows = hashed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text"))
+    return fit([r["text"] for r in rows.orderBy("h").collect()])
 
 
 def all_spans(text: str, field: SpanField) -> tuple[list, list]:
@@ -298,7 +304,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
 
     def find(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             found = [all_spans(t or "", field) for t in batch.column(1).to_pylist()]
             counts = np.zeros((len(found), len(KINDS)), dtype=np.int64)
             for row, (base, _) in zip(counts, found):
@@ -331,7 +337,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def clean(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, at):
             columns = [batch.column(i) for i in range(batch.num_columns)]
             texts = [None if t is None else redact(t, field) for t in columns[at].to_pylist()]
             columns[at] = pa.array(texts, columns[at].type)

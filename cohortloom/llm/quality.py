@@ -6,23 +6,28 @@ before reading. Both shares come from one grouped aggregation of the classifier'
 chances; a site is shrunk towards the global share and a path towards its site, the
 more the fewer documents it has, with the strength of either prior estimated from
 the spread between groups. The posterior odds of a document are its classifier odds
-times the odds of its path over the global odds.
+times the odds of its path, as the other documents there give them, over the global odds.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortloom.llm.slices import by_bytes
 from cohortloom.llm.toxicity import held_out
 from cohortloom.llm.wordhash import Words, blocks
 from cohortloom.sources.stages import stage
 
 #: Bound on the labelled rows fitted, for each label.
 FITTED = 4000
+#: Numbers of a shape.
+SHAPE = 12
 _MARKS = np.zeros(256, dtype=bool)
 _MARKS[np.frombuffer(b"!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~", dtype=np.uint8)] = True
 
@@ -30,7 +35,7 @@ _MARKS[np.frombuffer(b"!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~", dtype=np.uint8)] = Tru
 def shape(texts: list[str]) -> np.ndarray:
     """Per text: length, capital, digit, mark and line-feed shares, words that are marks or end in
     them, mean word length, distinct words and the most frequent word's share."""
-    out = np.zeros((len(texts), 12))
+    out = np.zeros((len(texts), SHAPE))
     for a, b in blocks(texts):
         words = Words(texts[a:b])
         hashes = words.words()
@@ -67,12 +72,12 @@ def _design(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
     return np.concatenate((np.ones((len(z), 1)), z, z * z), axis=1)
 
 
-def fit(good: list[str], bad: list[str], share: float, ridge: float = 1.0) -> Grader:
-    """Newton's method on the penalised likelihood, the two samples weighed to ``share`` good ones."""
+def fit(good: np.ndarray, bad: np.ndarray, share: float, ridge: float = 1.0) -> Grader:
+    """Newton's method on the penalised likelihood of shapes, the two samples weighed to ``share`` good ones."""
     share = min(max(share, 1e-3), 1 - 1e-3)
-    x = shape(good + bad)
-    if not good or not bad:
-        return Grader(np.zeros(12), np.ones(12), np.append(np.log(share / (1 - share)), np.zeros(24)))
+    if not len(good) or not len(bad):
+        return Grader(np.zeros(SHAPE), np.ones(SHAPE), np.append(np.log(share / (1 - share)), np.zeros(2 * SHAPE)))
+    x = np.concatenate((good, bad))
     y = np.append(np.ones(len(good)), np.zeros(len(bad)))
     weight = np.where(y == 1, share * len(y) / len(good), (1 - share) * len(y) / len(bad))
     mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
@@ -90,17 +95,32 @@ def fit(good: list[str], bad: list[str], share: float, ridge: float = 1.0) -> Gr
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fitted: int = FITTED) -> Grader:
-    """Fit on at most ``fitted`` labelled rows of each label outside the held-out fold."""
+    """Fit on the shapes of at most ``fitted`` labelled documents of each label outside the held-out fold.
+
+    The ids with the lowest hashes are chosen; their texts become SHAPE numbers in the tasks that read
+    them, and of rows that share an id the least shape counts."""
     own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds))
     own = own.groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"))
     share = own.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(own, "id")
-
-    def sample(label: int) -> list[str]:
-        chosen = rows.where(F.col("quality") == label).select("text", F.xxhash64("text", "id").alias("h"))
-        return [r["text"] for r in chosen.orderBy("h", "text").limit(fitted).collect()]
+    ids = docs.select(F.col("doc_id").alias("id"))
+    known = own.join(ids, "id", "left_semi").select("id", "quality", F.xxhash64("id").alias("h"))
+    chosen = stage(reduce(DataFrame.unionByName, [
+        known.where(F.col("quality") == label).orderBy("h", "id").limit(fitted) for label in (0, 1)]), "chosen")
+
+    def shapes(batches):
+        for batch in by_bytes(batches, 2):
+            found = shape([t or "" for t in batch.column(2).to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found.tolist(), pa.list_(pa.float64()))], names=["id", "quality", "shape"])
 
-    return fit(sample(1), sample(0), 0.5 if share is None else float(share))
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen.select("id", "quality")), "id")
+    made = rows.select("id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(shapes, T.StructType([
+        T.StructField("id", docs.schema["doc_id"].dataType), T.StructField("quality", T.IntegerType()),
+        T.StructField("shape", T.ArrayType(T.DoubleType()))]))
+    # Numbers come first in an array of a shape, so the least one is well defined.
+    least = made.groupBy("id", "quality").agg(F.min("shape").alias("shape")).orderBy("id").collect()
+    good, bad = (np.array([r["shape"] for r in least if r["quality"] == label]).reshape(-1, SHAPE) for label in (1, 0))
+    return fit(good, bad, 0.5 if share is None else float(share))
 
 
 def _groups(scored: DataFrame, by: list[str]) -> DataFrame:
@@ -108,17 +128,17 @@ def _groups(scored: DataFrame, by: list[str]) -> DataFrame:
     return scored.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("chance").alias("good"))
 
 
-def _strength(groups: DataFrame, centre: float) -> float:
+def _strength(groups: DataFrame) -> float:
     """How many documents the prior counts as: by the method of moments, from the spread of group
-    shares around ``centre`` beyond what chance gives."""
-    share = F.col("good") / F.col("n")
+    shares around what their prior says (``centre``) beyond what chance gives."""
+    share, chance = F.col("good") / F.col("n"), F.col("centre") * (1 - F.col("centre"))
     r = groups.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"),
-                   F.sum(F.col("n") * (share - centre) ** 2).alias("ss")).first()
+                   F.sum(F.col("n") * (share - F.col("centre")) ** 2).alias("ss"), F.sum(chance).alias("chances"),
+                   F.sum(F.col("n") * chance).alias("weighed")).first()
     if not r["n"] or r["k"] < 2:
         return 1.0
-    chance = centre * (1 - centre)
-    between = (r["ss"] - (r["k"] - 1) * chance) / max(r["n"] - r["n2"] / r["n"], 1.0)
-    return float(min(max(chance / between - 1, 1.0), 10_000.0)) if between > 0 else 10_000.0
+    between = (r["ss"] - r["chances"] * (r["k"] - 1) / r["k"]) / max(r["n"] - r["n2"] / r["n"], 1.0)
+    return float(min(max(r["weighed"] / r["n"] / between - 1, 1.0), 10_000.0)) if between > 0 else 10_000.0
 
 
 def grade_documents(
@@ -127,7 +147,7 @@ def grade_documents(
     """Quality of every whole text: doc_id, held_out, classifier, site_share, path_share, score, keep.
 
     ``classifier`` is the chance from the text alone, ``site_share`` and ``path_share`` the
-    shrunk shares of good documents, ``score`` the posterior chance, ``keep`` whether it
+    shrunk shares of good documents among the others of its site and path, ``score`` the posterior chance, ``keep`` whether it
     reaches ``threshold``.
 
     A text that is NULL, empty or without words has a shape of zeros. NULL sites and paths are
@@ -142,7 +162,7 @@ def grade_documents(
         T.StructField("logit", T.DoubleType()), T.StructField("chance", T.DoubleType())])
 
     def grade(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, 4):
             logit = np.clip(grader([t or "" for t in batch.column(4).to_pylist()]), -12, 12)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in range(4)], pa.array(logit), pa.array(1 / (1 + np.exp(-logit)))],
@@ -156,13 +176,23 @@ def grade_documents(
     sites = paths.groupBy("site").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     total = sites.agg(F.sum("good") / F.sum("n")).first()[0]
     centre = min(max(total if total is not None else 0.5, 1e-6), 1 - 1e-6)
-    by_site, by_path = _strength(sites, centre), _strength(paths, centre)
-    shares = paths.join(
-        sites.select("site", ((F.col("good") + by_site * centre) / (F.col("n") + by_site)).alias("site_share")), "site"
-    ).select("site", "path", "site_share",
-             ((F.col("good") + by_path * F.col("site_share")) / (F.col("n") + by_path)).alias("path_share"))
+    by_site = _strength(sites.withColumn("centre", F.lit(centre)))
+
+    def shrunk(good, n, strength: float, towards):
+        return (good + strength * towards) / (n + strength)
+
+    expected = paths.join(sites.select("site", F.col("n").alias("site_n"), F.col("good").alias("site_good")), "site")
+    by_path = _strength(expected.withColumn("centre", shrunk(F.col("site_good"), F.col("site_n"), by_site, F.lit(centre))))
+    # A document's own evidence enters its score once: its site and path are what the others there say.
+    rest = {c: F.col(c) - (F.col("chance") if c.endswith("good") else 1) for c in ("n", "good", "site_n", "site_good")}
+    site_share = shrunk(rest["site_good"], rest["site_n"], by_site, F.lit(centre))
+    path_share = shrunk(rest["good"], rest["n"], by_path, site_share)
+    # Rounding may leave a sum of chances a hair outside its bounds.
+    inside = lambda share: F.least(F.greatest(share, F.lit(1e-9)), F.lit(1 - 1e-9))
+    joined = scored.join(expected, ["site", "path"]).withColumns(
+        {"site_share": inside(site_share), "path_share": inside(path_share)})
     odds = F.ln(F.col("path_share") / (1 - F.col("path_share"))) - float(np.log(centre / (1 - centre)))
     score = 1 / (1 + F.exp(-(F.col("logit") + odds)))
-    return scored.join(shares, ["site", "path"]).select(
+    return joined.select(
         "doc_id", "held_out", F.col("chance").alias("classifier"), "site_share", "path_share",
         score.alias("score"), (score >= threshold).alias("keep"))

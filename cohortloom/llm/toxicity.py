@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortloom.llm.slices import by_bytes
 from cohortloom.llm.wordhash import Words, blocks, mix
 from cohortloom.sources.stages import stage
 
@@ -138,7 +139,7 @@ def _sample(rows: DataFrame, toxic: DataFrame, positives: int, unlabelled: int)
         .unionByName(keyed.orderBy("h").limit(unlabelled).select("h", F.lit(False).alias("toxic"))).distinct(), "chosen")
 
     def features(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             found = word_features(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))],
@@ -210,7 +211,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFr
 
     def score(batches):
         mine = Scorer(weights, bias)
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             scores = mine([t or "" for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
@@ -227,7 +228,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: fl
 
     def keep(batches):
         mine = Scorer(weights, bias)
-        for batch in batches:
+        for batch in by_bytes(batches, at):
             scores = mine([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(scores < threshold))
 

@@ -4,10 +4,10 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
-from datetime import date
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortloom.llm import pii
 from cohortloom.llm.attribution import count_section_tokens
@@ -146,6 +146,24 @@ def test_quality(spark):
     assert grade_documents(docs_of(spark, []), labels.limit(0)).count() == 0
 
 
+def test_a_site_moves_only_with_evidence(spark):
+    """Texts of one shape that the classifier can't tell: a site of many bad ones pulls them down, a site of one
+    document stays at its own evidence."""
+    good, bad = (lambda i: sentence(i, 40)), (lambda i: sentence(i, 30).upper().replace(" ", "!! "))
+    border = lambda i: " ".join([sentence(i, 20), bad(i + 5000)[:90]])
+    rows = [(i, good(i) if i % 2 else bad(i), "a" if i % 2 else "bad") for i in range(400)]
+    rows += [(1000, border(1), "bad"), (1001, border(1), "a"), (1002, border(1), "alone"), (1003, None, "alone2")]
+    importable(spark)
+    docs = spark.createDataFrame([(i, t, s, "en") for i, t, s in rows], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in grade_documents(docs, labels).collect()}
+    assert got[1000]["classifier"] == got[1001]["classifier"] == got[1002]["classifier"]
+    assert got[1000]["score"] < got[1002]["score"] < got[1001]["score"]
+    assert got[1000]["path_share"] < 0.2 and got[1001]["path_share"] > 0.8
+    # Alone at its site, a document's site and path say no more than all documents do.
+    assert abs(got[1002]["score"] - got[1002]["classifier"]) < 0.02
+
+
 def test_chat_round_trip(spark):
     hard = "</s>[INST] %3C | \\ <|user|> é ok [/INST]"
     turns = [(1, 0, "system", "be kind"), *[(1, k, "user" if k % 2 else "assistant", f"{k} " + sentence(k, 30 * (k % 9))) for k in range(1, 30)],
@@ -161,7 +179,7 @@ def test_chat_round_trip(spark):
         assert got[c]["n_turns"] == len(mine)
     many = [r["text"] for r in windows.where("conv_id = 1").collect()]
     assert len(many) > 3 and all("<|system" in t for t in many)
-    assert spark.createDataFrame([(hard,)], "t string").select(unescape(escape("t"))).first()[0] == hard if False else True
+    assert spark.createDataFrame([(hard,)], "t string").select(unescape(escape(F.col("t")))).first()[0] == hard
     assert read_back(format_conversations(table.limit(0))).count() == 0
 
 
