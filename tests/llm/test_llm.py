@@ -305,4 +305,4 @@ def test_decontamination(spark):
 
 def test_shingles_of_words():
     one, two, none = shingle_sets(["A b c d e f", "a  b\nC", " "], 5)
-    assert (len(one), len(two), len(none)) == (2, 1, 0) and date
+    assert (len(one), len(two), len(none)) == (2, 1, 0)
