@@ -1,25 +1,10 @@
-"""Written tables: marts that others read, and stages inside one job."""
+"""Written stages inside one job. Tables that others read are published: see ``marts``."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def write_mart(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
-    """Replace a materialised table and read it back.
-
-    Partitioning by a month column takes the place of a date index: readers
-    that filter on it open only those folders.
-    """
-    writer = df.write
-    if partition_by:
-        # Rebalance gathers a month's rows into few files and splits a big month.
-        writer = df.hint("rebalance", F.col(partition_by)).write.partitionBy(partition_by)
-    writer.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
 
 
 def stage_folder(spark: SparkSession) -> str:
