@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import codes
 from cohortloom.functions import scalars as S
+from cohortloom.functions.sql import register_functions
 from cohortloom.operators import cohort as K
 from cohortloom.operators import curves as C
 from cohortloom.operators import features as X
@@ -259,6 +260,16 @@ def business_days(spark, folder):
                              S.weekday_from_sunday(due).alias("weekday"), S.month_key(due).alias("month_year"))
 
 
+@query
+def sql_text_functions(spark, folder):
+    """A query in SQL text that calls the registered scalar and table functions."""
+    register_functions(spark)
+    return spark.sql("""
+        select l.id as loan_id, s.n, add_business_days(l.due_date_adjusted, s.n) as due_on, issued(l.status_cd) as is_issued,
+               round(nice_div(l.amount, s.n - 2), 6) as part
+        from {loans} l, lateral integer_series(1, 1 + month(l.due_date_adjusted) % 3) s""", loans=catalog(spark, folder)["loans"])
+
+
 @query
 def regex_ledger_flags(spark, folder):
     account = F.col("account")
