@@ -7,10 +7,17 @@ bands with probability 3e-6; at 0.9 it is 1e-10.
 
 Documents with equal shingle sets become one node first. Band buckets hold nodes,
 and only which nodes are connected matters, so the pairs of a bucket are not
-listed: nodes are first compared with one centre per bucket (two star rounds),
-linked nodes are contracted to components, and then only nodes of one bucket that
-are still in different components, of compatible sizes and with fitting sketches,
-are compared. Every link is confirmed on the full sets.
+listed: nodes are first compared with one centre per bucket (two star rounds) and
+linked nodes are contracted to components. The links that buckets across
+components still hide are found from the differences to a hub c, the node with the
+most links in the component that is most frequent in a bucket. With D(u) the
+shingles that are in u or in c, but not in both, two sets u and v differ in
+|D(u)| + |D(v)| - 2 |D(u) and D(v)| shingles, whatever c is. So a link needs a known
+number of shingles in both differences, the larger the further both are from c, and
+must share one in the first of them in a common order: first what c lacks, which
+copies edited apart from each other don't share, then what c has. Only nodes that
+share such a shingle are compared.
+Every link is confirmed on the full sets, and no candidate of a band is dropped.
 """
 
 from __future__ import annotations
@@ -28,15 +35,12 @@ from cohortloom.sources.stages import stage
 
 BANDS = 40
 ROWS = 8
-SKETCH_WORDS = BANDS * ROWS // 64
 _PERMUTATIONS = BANDS * ROWS // 2
 _random = np.random.default_rng(1997)
 _FACTORS = _random.integers(0, 2**31, _PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _OFFSETS = _random.integers(0, 2**32, _PERMUTATIONS, dtype=np.uint32)
 _WEIGHTS = _random.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 4096
-#: One-bit agreement of pairs at similarity 0.85 is 0.925 of 320 bits; five standard deviations below it.
-SKETCH_BITS = int(320 * (0.925 - 5 * (0.925 * 0.075 / 320) ** 0.5))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -57,12 +61,6 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return mix(mix(salted).sum(axis=-1, dtype=np.uint64)).view(np.int64)
 
 
-def sketch(signatures: np.ndarray) -> np.ndarray:
-    """One bit of each signature value, as SKETCH_WORDS 64-bit numbers."""
-    bits = (mix(signatures.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits.reshape(len(signatures), -1), axis=1).view(np.int64)
-
-
 def set_keys(sets: list[np.ndarray]) -> np.ndarray:
     """Two 64-bit keys of each set, the same for equal sets."""
     out = np.zeros((len(sets), 2), dtype=np.uint64)
@@ -84,8 +82,8 @@ def _sign(batches, size: int):
         keys = set_keys(sets)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
-             _lists(band_keys(signatures)), _lists(sketch(signatures))],
-            names=["id", "n", "s1", "s2", "bands", "sketch"])
+             _lists(band_keys(signatures))],
+            names=["id", "n", "s1", "s2", "bands"])
 
 
 def _confirm(batches, size: int, percent: int):
@@ -109,6 +107,47 @@ def _confirm(batches, size: int, percent: int):
         yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], names=["a", "b"])
 
 
+def _differ(batches, size: int, percent: int):
+    """Nodes a against the hub b of their bucket: whether they are linked, how many shingles differ, and the
+    first of these that a link with any partner can be found by.
+
+    ``x`` is (100 + percent) * |D(a)| - (100 - percent) * |a|: two nodes are linked where twice
+    (100 + percent) * |D(a) and D(v)| reaches the sum of their x. ``low`` is the least x that a linked
+    partner can have by its size and by the number of its differences.
+    """
+    for batch in by_bytes(batches, 5):
+        left = shingle_sets(batch.column("a_text").to_pylist(), size)
+        texts = batch.column("b_text").dictionary_encode()
+        hubs = shingle_sets(texts.dictionary.to_pylist(), size)
+        right = texts.indices.to_numpy()
+        own = (set_keys(left)[:, 0] == batch.column("a_key").to_numpy()) & (
+            set_keys(hubs)[right, 0] == batch.column("b_key").to_numpy())
+        at = np.flatnonzero(own)
+        linked, differ, xs, lows, first = [], [], [], [], []
+        for i in at:
+            u, c = left[i], hubs[right[i]]
+            only_u = np.setdiff1d(u, c, assume_unique=True)
+            only_c = np.setdiff1d(c, u, assume_unique=True)
+            d = len(only_u) + len(only_c)
+            x = (100 + percent) * d - (100 - percent) * len(u)
+            largest = 100 * len(u) // percent
+            low = max(x - 2 * (100 - percent) * largest, -(100 - percent) * largest)
+            need = max(1, -(-(x + low) // (2 * (100 + percent))))
+            linked.append((100 + percent) * d <= (100 - percent) * (len(u) + len(c)))
+            differ.append(d)
+            xs.append(x)
+            lows.append(low)
+            first.append(np.concatenate((only_u, only_c))[:max(0, d - need + 1)].view(np.int64))
+        ends = np.concatenate(([0], np.cumsum([len(f) for f in first]))).astype(np.int32)
+        values = np.concatenate([np.zeros(0, dtype=np.int64), *first])
+        rows = pa.array(at)
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(c).take(rows) for c in ("a", "b", "component", "home", "n")], pa.array(linked, pa.bool_()),
+             pa.array(differ, pa.int64()), pa.array(xs, pa.int64()), pa.array(lows, pa.int64()),
+             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))],
+            names=["a", "b", "component", "home", "n", "linked", "differ", "x", "low", "first"])
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = 85, shingle_words: int = 5, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -132,23 +171,25 @@ def near_duplicates(
         lambda batches: _sign(batches, shingle_words),
         T.StructType([
             T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()),
-            T.StructField("s2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
-            T.StructField("sketch", T.ArrayType(T.LongType()))])), "signed")
+            T.StructField("s2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])), "signed")
     present = signed.where("id is not null and n > 0")
     # Equal sets: one node, named by the smallest id; a large group of copies combines before the shuffle.
     nodes = stage(present.groupBy("n", "s1", "s2").agg(
-        F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+        F.min("id").alias("node"), F.first("bands").alias("bands")), "nodes")
     spread = nodes.select(F.explode("bands").alias("key"), "node")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Links among candidate pairs (a, b), each pair once."""
+    def with_texts(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, ...) with the key of the first half of each node's set and its text."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         held = ids.join(nodes.select("node", "s1"), "node").join(texts, F.col("node") == F.col("id"))
         held = held.select("node", F.col("s1").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
         x = held.select(F.col("node").alias("a"), F.col("key").alias("a_key"), F.col("text").alias("a_text"))
         y = held.select(F.col("node").alias("b"), F.col("key").alias("b_key"), F.col("text").alias("b_text"))
-        return pairs.select("a", "b").join(x, "a").join(y, "b").select(
-            "a", "b", "a_key", "a_text", "b_key", "b_text").mapInArrow(
+        return pairs.join(x, "a").join(y, "b")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Links among candidate pairs (a, b), each pair once."""
+        return with_texts(pairs).select("a", "b", "a_key", "a_text", "b_key", "b_text").mapInArrow(
             lambda batches: _confirm(batches, shingle_words, percent),
             T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)]))
 
@@ -182,19 +223,56 @@ def near_duplicates(
             F.max("node").alias("centre")).where("low < high").select("key", "centre")
         buckets = stage(apart, "buckets")
 
-    # What is left: nodes of a bucket that lies across components, each against the others' components.
-    sized = nodes.select("node", "n", "sketch").join(state, "node")
-    active = stage(spread.join(buckets.select("key"), "key").join(sized, "node"), "active")
-    u = active.select("key", *[F.col(c).alias(f"u_{c}") for c in ("node", "component", "n", "sketch")])
-    v = active.select("key", *[F.col(c).alias(f"v_{c}") for c in ("node", "component", "n", "sketch")])
-    unlike = sum((F.bit_count(F.col("u_sketch")[i].bitwiseXOR(F.col("v_sketch")[i])) for i in range(SKETCH_WORDS)),
-                 F.lit(0))
-    rest = u.join(v, (u["key"] == v["key"]) & (F.col("u_node") < F.col("v_node"))
-                  & (F.col("u_component") != F.col("v_component"))
-                  & (100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n"))
-                  & (64 * SKETCH_WORDS - unlike >= SKETCH_BITS))
-    pairs = rest.select(F.col("u_node").alias("a"), F.col("v_node").alias("b")).distinct()
-    links = stage(links.unionByName(confirmed(stage(pairs, "rest"))), "confirmed")
+    # What is left: buckets across components, by the differences of their nodes to a hub.
+    active = stage(spread.join(buckets.select("key"), "key").join(state, "node"), "active")
+    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(
+        F.count(F.lit(1)).alias("links"))
+    hubs = state.join(degrees, "node", "left").groupBy("component").agg(
+        F.min(F.struct((-F.coalesce("links", F.lit(0))).alias("order"), "node")).alias("hub")).select(
+        F.col("component").alias("home"), F.col("hub.node").alias("b"))
+    most = active.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members")).groupBy("key").agg(
+        F.max(F.struct("members", "component")).alias("most")).select("key", F.col("most.component").alias("home"))
+    pairs = active.join(most.join(hubs, "home"), "key").where("node != b").select(
+        F.col("node").alias("a"), "b", "component", "home").distinct()
+    sized = pairs.join(nodes.select(F.col("node").alias("a"), "n"), "a")
+    compared = stage(
+        with_texts(stage(sized, "pairs")).select(
+            "a", "b", "component", "home", "n", "a_text", "a_key", "b_key", "b_text").mapInArrow(
+            lambda batches: _differ(batches, shingle_words, percent),
+            T.StructType([
+                T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("component", id_type),
+                T.StructField("home", id_type), T.StructField("n", T.LongType()), T.StructField("linked", T.BooleanType()),
+                T.StructField("differ", T.LongType()), T.StructField("x", T.LongType()),
+                T.StructField("low", T.LongType()), T.StructField("first", T.ArrayType(T.LongType()))])), "compared")
+    # Nodes inside are in the hub's component by now; only pairs with a node outside are open.
+    inside = F.col("linked") | (F.col("component") == F.col("home"))
+    bounds = compared.groupBy("b").agg(
+        F.min(F.when(inside, F.struct("x", "a"))).alias("nearest"),
+        F.min(F.when(~inside, F.col("x"))).alias("low_out")).where("low_out is not null").select(
+        "b", F.col("nearest.a").alias("nearest"), F.col("nearest.x").alias("low_in"), "low_out")
+    placed = compared.join(bounds, "b").withColumn("inside", inside)
+
+    def filed(rows: DataFrame, low: str, side: str) -> DataFrame:
+        """Nodes under the shingles that a link with a partner whose x is ``low`` or more can be found by."""
+        need = F.greatest(F.lit(1), F.ceil((F.col("x") + F.greatest("low", low)) / (2 * (100 + percent))))
+        length = F.greatest(F.lit(0), F.col("differ") - need + 1).cast("int")
+        return rows.select(
+            "b", F.explode(F.slice("first", F.lit(1), length)).alias("shingle"), F.col("a").alias(f"{side}_node"),
+            F.col("component").alias(f"{side}_component"), F.col("n").alias(f"{side}_n"))
+
+    alike = 100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n")
+    outside = placed.where("not inside")
+    both_out = filed(outside, "low_out", "u").join(filed(outside, "low_out", "v"), ["b", "shingle"]).where(
+        (F.col("u_node") < F.col("v_node")) & (F.col("u_component") != F.col("v_component")) & alike)
+    one_out = filed(placed.where("inside"), "low_out", "u").join(
+        filed(outside.where("low_in is not null"), "low_in", "v"), ["b", "shingle"]).where(alike)
+    # So near to the hub, both, that they are linked whatever their differences share.
+    sure = outside.where("x + low_in <= 0").select(F.col("a").alias("u_node"), F.col("nearest").alias("v_node"))
+    rest = both_out.select("u_node", "v_node").unionByName(one_out.select("u_node", "v_node")).unionByName(sure)
+    candidates = stage(rest.select(
+        F.least("u_node", "v_node").alias("a"), F.greatest("u_node", "v_node").alias("b")).distinct(), "rest")
+    links = links.unionByName(compared.where("linked").select("a", "b")).unionByName(confirmed(candidates))
+    links = stage(links, "confirmed")
     final = labelled(links)
 
     classes = nodes.select("n", "s1", "s2", "node").join(final, "node").select("n", "s1", "s2", "component")
