@@ -116,6 +116,23 @@ def test_near_duplicates(spark):
     assert near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_near_duplicates_edited_apart(spark):
+    """Copies of three texts, edited apart and cut, with similarities on both sides of the threshold."""
+    draw = np.random.default_rng(5)
+    base = sentence(5, 160).split()
+    texts = []
+    for i in range(120):
+        words = list(base)
+        words[10 * (i % 3)] = f"copy{i % 3}"
+        for at in draw.integers(0, 160, int(draw.integers(0, 5))):
+            words[at] = f"edit{draw.integers(10**6)}"
+        texts.append((i, " ".join(words[:int(draw.integers(130, 161)) if i % 4 == 0 else 160])))
+    expected = brute_groups(texts)
+    assert 5 < len({component for _, component in expected.values()}) < 115
+    rows = near_duplicates(docs_of(spark, texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == expected
+
+
 def test_components_of_a_chain(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 100), (None, 3), (7, 7)]
     rows = components(spark.createDataFrame(links, "a long, b long")).collect()
