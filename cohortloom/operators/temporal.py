@@ -13,8 +13,9 @@ folded by a task of its own, and the folds of the ranges before it, a few
 thousand summary rows in all, are carried in.
 
 ``lookup_between`` folds right rows to one row per (key, moment) and questions to the
-distinct points, cuts the timeline in hours, and answers go back to the left rows by an
-equi-join on (key, moment), whose right side is unique.
+distinct points, cuts the timeline in slices and blocks of slices that follow from the window's
+length, and answers go back to the left rows by an equi-join on (key, moment), whose right side
+is unique.
 """
 
 from __future__ import annotations
@@ -45,11 +46,6 @@ class Fold:
     def empty(self, df: DataFrame) -> Column:
         return F.lit(None).cast(df.schema[self.name].dataType).alias(self.name)
 
-    def merge(self, a: Column, b: Column) -> Column:
-        if self.kind == "sum":
-            return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
-        return (F.least if self.kind == "min" else F.greatest)(a, b)
-
 
 _FOLDS = {"min": F.min, "max": F.max, "sum": F.sum}
 
@@ -81,11 +77,6 @@ def count_where(name: str, condition: Column | None = None) -> Fold:
 
 
 # --- shared pieces -----------------------------------------------------------
-def _slice(moment: Column) -> Column:
-    """Whole hours since the origin."""
-    return F.unix_date(moment.cast("date")).cast("long") * 24 + F.hour(moment)
-
-
 def _keys(by) -> list[tuple[str, str]]:
     if isinstance(by, str):
         return [(by, by)]
@@ -248,95 +239,125 @@ def lookup_between(
 ) -> DataFrame:
     """Fold right rows with time in ``[at + low, at + high]``, ends included.
 
-    ``low`` and ``high`` are interval texts such as ``"-3 days"``; the window
-    must be two hours or more. It is split at the hour slices it crosses: the
-    tail of its first slice, the whole slices between, the head of its last one.
+    ``low`` and ``high`` are interval texts such as ``"-3 days"`` or ``"-18 months"``, in any
+    unit from microseconds to years; a window may be as short as one moment. Months are
+    calendar months, as ``timestamp + interval`` counts them.
+
+    The timeline is cut in slices of a 64th of the window. A question is the tail of its first
+    slice, the head of its last one, and the whole slices between. Those are gathered in blocks
+    of 1, 2, 4, .. slices, each folded once; a window takes two blocks of a size at most.
     """
     pairs, keys, asked, rows, common = _sides(left, right, by, at, time, folds)
+    if not isinstance(common, (TimestampType, TimestampNTZType)):
+        raise TypeError("lookup_between works on timestamps")
+    width, levels = _slicing(low, high)
     rows = measure(asked, rows, keys).prune(rows, asked)
     q = asked.where(present([*keys, "__t"])).select(*keys, "__t").distinct()
     r = rows.groupBy(*keys, "__t").agg(*[f.over_rows().alias(f.name) for f in folds])
-    if not isinstance(common, (TimestampType, TimestampNTZType)):
-        raise TypeError("lookup_between works on timestamps")
     names = [f.name for f in folds]
-    hours = _hours_between(low, high)
+
+    def slice_at(moment: str) -> Column:
+        micros = _micros(F.col(moment), common)
+        return F.call_function("div", micros - F.pmod(micros, F.lit(width)), F.lit(width))
 
     q = q.select(*keys, F.col("__t").alias("__ask"),
-                 (F.col("__t") + F.expr(f"interval {low}")).alias("__lo"),
-                 (F.col("__t") + F.expr(f"interval {high}")).alias("__hi"))
-    q = q.withColumn("__slo", _slice(F.col("__lo"))).withColumn("__shi", _slice(F.col("__hi")))
-    r = r.withColumn("__s", _slice(F.col("__t")))
+                 (F.col("__t") + _shift(low)).alias("__lo"), (F.col("__t") + _shift(high)).alias("__hi"))
+    q = q.withColumns({"__slo": slice_at("__lo"), "__shi": slice_at("__hi")})
+    r = r.withColumn("__s", slice_at("__t"))
 
-    nothing = [f.empty(r) for f in folds]
-    no_time = F.lit(None).cast(common)
     # Roles within a slice: 1 data, 0 first-slice question, 2 last-slice question.
-    data = r.select(*keys, "__s", "__t", F.lit(1).alias("__role"), *names,
-                    no_time.alias("__ask"), F.lit(None).cast("long").alias("__span"))
-    span = (F.col("__shi") - F.col("__slo")).alias("__span")
-    starts = q.select(*keys, F.col("__slo").alias("__s"), F.col("__lo").alias("__t"), F.lit(0).alias("__role"),
-                      *nothing, "__ask", span)
-    ends = q.select(*keys, F.col("__shi").alias("__s"), F.col("__hi").alias("__t"), F.lit(2).alias("__role"),
-                    *nothing, "__ask", span)
-
-    # Whole slices between: a window of `hours` or `hours + 1` slices apart.
-    asked = q.select(*keys, F.col("__shi").alias("__s"), *nothing, F.lit(True).alias("__asked"))
-    summaries = (
-        r.select(*keys, "__s", *names, F.lit(False).alias("__asked")).unionByName(asked)
-        .groupBy(*keys, "__s").agg(*[f.over_rows().alias(f.name) for f in folds], F.max("__asked").alias("__asked"))
-    )
-    order = Window.partitionBy(*keys).orderBy("__s")
-    between = summaries
-    for f in folds:
-        between = between.withColumn(f"__short_{f.name}", f.over_rows().over(order.rangeBetween(-(hours - 1), -1)))
-        between = between.withColumn(f"__long_{f.name}", f.over_rows().over(order.rangeBetween(-hours, -1)))
-    extra = [f"__{w}_{n}" for n in names for w in ("short", "long")]
-    between = between.where(F.col("__asked") & reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in extra]))
-
-    empty_extra = [F.lit(None).cast(r.schema[n].dataType).alias(f"__{w}_{n}") for n in names for w in ("short", "long")]
-    rows = data.unionByName(starts).unionByName(ends).select("*", *empty_extra).unionByName(
-        between.select(*keys, "__s", no_time.alias("__t"), F.lit(-1).alias("__role"), *nothing,
-                       no_time.alias("__ask"), F.lit(None).cast("long").alias("__span"), *extra)
-    )
+    nothing = [f.empty(r) for f in folds]
+    data = r.select(*keys, "__s", "__t", F.lit(1).alias("__role"), *names, F.lit(None).cast(common).alias("__ask"))
+    # Both ends in one slice: the window is one moment, and the head is all of it.
+    starts = q.where("__slo < __shi").select(
+        *keys, F.col("__slo").alias("__s"), F.col("__lo").alias("__t"), F.lit(0).alias("__role"), *nothing, "__ask")
+    ends = q.select(
+        *keys, F.col("__shi").alias("__s"), F.col("__hi").alias("__t"), F.lit(2).alias("__role"), *nothing, "__ask")
     cell = Window.partitionBy(*keys, "__s")
-    head = cell.orderBy(F.col("__t").asc_nulls_first(), "__role").rowsBetween(Window.unboundedPreceding, 0)
+    head = cell.orderBy("__t", "__role").rowsBetween(Window.unboundedPreceding, 0)
     # Mirrored: with time descending, a start question comes after data of its own moment.
-    tail = cell.orderBy(F.col("__t").desc_nulls_first(), F.col("__role").desc()).rowsBetween(
-        Window.unboundedPreceding, 0)
-    seen = {}
-    for f in folds:
-        seen[f"__head_{f.name}"] = f.over_rows().over(head)
-        for w in ("short", "long"):
-            # Only the carry row holds a value here, and it sorts first.
-            seen[f"__{w}_{f.name}"] = F.max(f"__{w}_{f.name}").over(head)
-    rows = rows.withColumns(seen).withColumns({f"__tail_{f.name}": f.over_rows().over(tail) for f in folds})
-
-    def piece(f: Fold) -> Column:
-        middle = F.when(F.col("__span") > hours, F.col(f"__long_{f.name}")).otherwise(F.col(f"__short_{f.name}"))
-        at_end = f.merge(F.col(f"__head_{f.name}"), middle)
-        return F.when(F.col("__role") == 2, at_end).otherwise(F.col(f"__tail_{f.name}")).alias(f.name)
-
-    answers = (
-        rows.where(F.col("__role").isin(0, 2))
-        .select(*keys, F.col("__ask").alias("__t"), *[piece(f) for f in folds])
-        .groupBy(*keys, "__t").agg(*[f.over_rows().alias(f.name) for f in folds])
-    )
+    tail = cell.orderBy(F.col("__t").desc(), F.col("__role").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = {f"__{side}_{f.name}": f.over_rows().over(w) for f in folds for side, w in (("head", head), ("tail", tail))}
+    edges = data.unionByName(starts).unionByName(ends).withColumns(seen).where("__role != 1").select(
+        *keys, "__ask",
+        *[F.when(F.col("__role") == 2, F.col(f"__head_{n}")).otherwise(F.col(f"__tail_{n}")).alias(n) for n in names])
+
+    # Slices fold first, so that a right row is copied to its blocks only once per slice.
+    slices = r.groupBy(*keys, "__s").agg(*[f.over_rows().alias(f.name) for f in folds])
+    own = F.array(*[_block(level, F.shiftright("__s", level)) for level in range(levels)])
+    blocks = slices.select(*keys, F.explode(own).alias("__b"), *names).select(*keys, "__b.*", *names).groupBy(
+        *keys, "__level", "__block").agg(*[f.over_rows().alias(f.name) for f in folds])
+    wanted = q.select(*keys, "__ask", F.explode(_blocks_between(F.col("__slo") + 1, F.col("__shi"), levels)).alias("__b"))
+    between = wanted.select(*keys, "__ask", "__b.*").join(blocks, [*keys, "__level", "__block"]).select(
+        *keys, "__ask", *names)
+
+    answers = edges.unionByName(between).groupBy(*keys, F.col("__ask").alias("__t")).agg(
+        *[f.over_rows().alias(f.name) for f in folds])
     return _back_to_left(left, pairs, keys, at, answers, common, folds)
 
 
-_UNIT_MINUTES = {"day": 1440, "hour": 60, "minute": 1}
-
-
-def _minutes(text: str) -> int:
-    number, unit = text.split()
-    return int(number) * _UNIT_MINUTES[unit.rstrip("s")]
-
-
-def _hours_between(low: str, high: str) -> int:
-    """Whole hours in the window: its ends lie this many slices apart, or one more."""
-    length = _minutes(high) - _minutes(low)
-    if length < 120:
-        raise ValueError("the window must be at least two hours long")
-    return length // 60
+#: Slices in the shortest form of a window.
+WINDOW_SLICES = 64
+_DAY = 86_400_000_000
+#: Microseconds of a unit; months and years are counted apart.
+_UNITS = {"microsecond": 1, "millisecond": 1000, "second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000,
+          "day": _DAY, "week": 7 * _DAY}
+_MONTHS = {"month": 1, "year": 12}
+
+
+def _interval(text: str) -> tuple[int, int]:
+    """Months and microseconds of a text of numbers and units, such as ``"-1 month 3 days"``."""
+    words = text.split()
+    months = micros = 0
+    for number, unit in zip(words[::2], words[1::2], strict=True):
+        unit = unit.lower().removesuffix("s")
+        if unit in _MONTHS:
+            months += int(number) * _MONTHS[unit]
+        else:
+            micros += int(number) * _UNITS[unit]
+    return months, micros
+
+
+def _shift(text: str) -> Column:
+    months, micros = _interval(text)
+    days, rest = divmod(micros, _DAY)
+    return F.make_interval(months=F.lit(months), days=F.lit(days), secs=F.lit(rest).cast("decimal(18,6)") / 1_000_000)
+
+
+def _slicing(low: str, high: str) -> tuple[int, int]:
+    """Width of a slice in microseconds, and the block sizes that the longest form of the window needs."""
+    (a_months, a), (b_months, b) = _interval(low), _interval(high)
+    months = b_months - a_months
+    shortest = b - a + _DAY * min(28 * months, 31 * months)
+    longest = b - a + _DAY * max(28 * months, 31 * months)
+    if shortest < 0:
+        raise ValueError("the window must not end before it begins, whatever the months' lengths")
+    width = max(1, shortest // WINDOW_SLICES)
+    return width, max(1, (longest // width + 1).bit_length())
+
+
+def _micros(moment: Column, kind) -> Column:
+    """Microseconds since the origin; of a moment without a zone, those its clock shows."""
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(moment)
+    days = F.unix_date(moment.cast("date")).cast("long")
+    seconds = (days * 24 + F.hour(moment)) * 3600 + F.minute(moment) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), moment) * 1_000_000).cast("long")
+
+
+def _block(level: int, number: Column) -> Column:
+    return F.struct(F.lit(level).alias("__level"), number.alias("__block"))
+
+
+def _blocks_between(first: Column, end: Column, levels: int) -> Column:
+    """The blocks that together make the slices from ``first`` to before ``end``, none twice: at each
+    size the odd block that the range begins with and the even one that it ends with."""
+    found = []
+    for level in range(levels):
+        a, b = F.shiftright(first + ((1 << level) - 1), level), F.shiftright(end, level)
+        found.append(F.when((a < b) & (a.bitwiseAND(F.lit(1)) == 1), _block(level, a)))
+        found.append(F.when((a < b) & (b.bitwiseAND(F.lit(1)) == 1), _block(level, b - 1)))
+    return F.array_compact(F.array(*found))
 
 
 # --- by key only -------------------------------------------------------------

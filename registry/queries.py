@@ -112,13 +112,27 @@ def asof_next_within(spark, folder):
     return found.select("id", F.datediff("payday.next_paydate", day).alias("days_before_next_payday"))
 
 
-@query
-def window_pick_flags(spark, folder):
+def _lead_flags(spark, folder, *window):
     leads = raw(spark, folder, "events").where(F.col("event_type") != "purchase").select(
         F.col("event_id").alias("id"), "user_id", F.col("ts").alias("created_on"), F.col("event_type").alias("type_cd"),
         F.col("props").alias("source_type_cd"))
     return L.lead_flags(_events(spark, folder, "purchase").select("event_id", "user_id", "ts"), leads,
-                        {"user_id": "user_id"}, F.col("ts"), purchased_types=("click", "view"))
+                        {"user_id": "user_id"}, F.col("ts"), *window, purchased_types=("click", "view"))
+
+
+@query
+def window_pick_flags(spark, folder):
+    return _lead_flags(spark, folder)
+
+
+@query
+def window_pick_half_hour(spark, folder):
+    return _lead_flags(spark, folder, "-30 minutes", "0 minutes")
+
+
+@query
+def window_pick_months(spark, folder):
+    return _lead_flags(spark, folder, "-18 months", "-1 day")
 
 
 @query
@@ -314,7 +328,8 @@ def existing_and_extended_flags(spark, folder):
     return flagged.select("loan_id", "existing_flg", "extended_flg")
 
 
-def _rates(spark, folder, name, base_column, outcome_column):
+def _rate_sides(spark, folder):
+    """Approvals with their segment values, and sold items as outcomes."""
     s = catalog(spark, folder)
     customers = raw(spark, folder, "customer").select(F.col("c_custkey").alias("__c"), "c_nationkey", "c_acctbal")
     tier = S.score_tier(F.lit(500) + F.col("c_acctbal") / 75)
@@ -327,25 +342,46 @@ def _rates(spark, folder, name, base_column, outcome_column):
         customers, F.col("o_custkey") == F.col("__c")).select(
         "l_shipdate", F.col("c_nationkey").alias("nation"), F.col("o_orderpriority").alias("priority"), tier.alias("tier"),
         S.flag(F.col("l_returnflag") == "R").alias("returned"), S.flag(F.col("l_linestatus") == "F").alias("finished"))
-    out = R.trailing_rates(base, sold, F.col("processed_on"), "l_shipdate",
-                           {name: (F.col(base_column), F.col(outcome_column))},
-                           {"returned": F.col("returned"), "finished": F.col("finished")})
+    return base, sold
+
+
+RATE_FLAGS = ("returned", "finished")
+
+
+def _rates(spark, folder, name):
+    base, sold = _rate_sides(spark, folder)
+    out = R.trailing_rates(base, sold, F.col("processed_on"), "l_shipdate", {name: (F.col(name), F.col(name))},
+                           {n: F.col(n) for n in RATE_FLAGS})
     return out.drop("processed_on", "nation", "priority", "tier")
 
 
 @query
 def trailing_rate_nation(spark, folder):
-    return _rates(spark, folder, "nation", "nation", "nation")
+    return _rates(spark, folder, "nation")
 
 
 @query
 def trailing_rate_priority(spark, folder):
-    return _rates(spark, folder, "priority", "priority", "priority")
+    return _rates(spark, folder, "priority")
 
 
 @query
 def trailing_rate_tier(spark, folder):
-    return _rates(spark, folder, "tier", "tier", "tier")
+    return _rates(spark, folder, "tier")
+
+
+@query
+def trailing_rate_refreshed(spark, folder):
+    """Rates from published daily sums that were built in three steps, the second one done twice."""
+    base, sold = _rate_sides(spark, folder)
+    path = _mart_folder(spark, "daily-rates")
+    bounds = [date(1900, 1, 1), date(1994, 7, 1), date(1997, 3, 15), date(2100, 1, 1)]
+    steps = list(zip(bounds, bounds[1:]))
+    for since, until in [*steps[:2], *steps[1:]]:
+        R.refresh_daily_rates(path, sold, "l_shipdate", {"priority": F.col("priority")},
+                              {n: F.col(n) for n in RATE_FLAGS}, since, until)
+    out = R.rates_from_daily(base, read_mart(spark, path), F.col("processed_on"), {"priority": F.col("priority")}, RATE_FLAGS)
+    return out.drop("processed_on", "nation", "priority", "tier")
 
 
 # --- curves ------------------------------------------------------------------

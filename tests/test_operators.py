@@ -89,6 +89,26 @@ def test_trailing_rate_day_bounds(spark):
     assert rows(got, "lid", "s_v_rate_30_day") == [(1, 0.0), (2, 1 / 3), (3, None), (4, None), (5, None)]
 
 
+def test_daily_rates_by_steps_equal_the_full_build(spark, tmp_path):
+    """Days folded in parts, added up, put in place twice, and restated with a row less."""
+    day = date(2020, 1, 1)
+    sold = [(day + timedelta(days=i % 50), "ab"[i % 2] if i % 7 else None, i % 3 == 0) for i in range(300)] + [(None, "a", True)]
+    make = lambda rows: spark.createDataFrame(rows, "d date, s string, v boolean")
+    args = "d", {"s": F.col("s"), "all": F.lit("x")}, {"v": F.col("v").cast("int")}
+    columns = "kind", "value", "day", "sum_v", "n_v"
+    full = rows(R.daily_rates(make(sold), *args), *columns)
+    parts = [R.daily_rates(make(sold[i::3]), *args) for i in range(3)]
+    assert rows(R.add_daily_rates(R.add_daily_rates(parts[0], parts[1]), parts[2]), *columns) == full
+
+    path, mid, end = str(tmp_path / "daily"), day + timedelta(days=20), day + timedelta(days=50)
+    gone = [r for r in sold if r[0] != mid]
+    for outcomes, since, until in ((sold, day, mid), (gone, mid, end), (gone, mid, end), (sold, mid, mid + timedelta(days=1))):
+        state = R.refresh_daily_rates(path, make(outcomes), *args, since, until)
+    assert rows(state, *columns) == full
+    state = R.refresh_daily_rates(path, make(gone), *args, mid, mid + timedelta(days=1))
+    assert rows(state, *columns) == rows(R.daily_rates(make(gone), *args), *columns)
+
+
 def test_gather_keeps_base_rows_and_refuses_duplicates(spark):
     base = spark.createDataFrame([(1, 10), (2, None)], "loan_id long, k long")
     table = spark.createDataFrame([(10, "x"), (11, "y")], "id long, v string")

@@ -15,8 +15,8 @@ from registry.queries import QUERIES
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not here")
 NAMES = (
-    "first_time_cohort", "asof_latest_strict", "asof_next_within", "window_pick_flags", "history_counts", "value_as_of",
-    "distinct_on_first", "sql_text_functions", "horizon_fee_lookup", "horizon_fee_lookup_keyed", "mart_roundtrip", "report_star", "contact_features", "loan_outcomes_business_days", "trailing_rate_nation",
+    "first_time_cohort", "asof_latest_strict", "asof_next_within", "window_pick_flags", "window_pick_half_hour", "window_pick_months", "history_counts", "value_as_of",
+    "distinct_on_first", "sql_text_functions", "horizon_fee_lookup", "horizon_fee_lookup_keyed", "mart_roundtrip", "report_star", "contact_features", "loan_outcomes_business_days", "trailing_rate_nation", "trailing_rate_refreshed",
     "cumulative_fee_curve", "second_platform_first_loan", "monthly_cashout", "monthly_net_cash", "repeat_counts",
     "installment_performance", "withdrawal_stats", "build_model_table_line_of_credit",
 )

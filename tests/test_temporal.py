@@ -1,5 +1,6 @@
 """The lookups against brute force, with ties, NULLs, a hot key and exact bounds."""
 
+import calendar
 import random
 from datetime import date, datetime, timedelta
 
@@ -119,17 +120,41 @@ def test_lookup_of_nothing(data):
     assert T.lookup(ldf.limit(0), rdf, "k", F.col("t"), F.col("rt"), folds()).count() == 0
 
 
-@pytest.mark.parametrize("low,high", [("-3 days", "30 minutes"), ("-2 hours", "0 minutes"), ("-1 hours", "90 minutes")])
+def shifted(moment, text):
+    """``moment`` plus an interval text; a day that the month lacks becomes its last."""
+    months, micros = T._interval(text)
+    year, month = divmod(moment.year * 12 + moment.month - 1 + months, 12)
+    day = min(moment.day, calendar.monthrange(year, month + 1)[1])
+    return moment.replace(year=year, month=month + 1, day=day) + timedelta(microseconds=micros)
+
+
+@pytest.mark.parametrize("low,high", [
+    ("-3 days", "30 minutes"), ("-2 hours", "0 minutes"), ("-1 hours", "90 minutes"), ("-30 minutes", "0 minutes"),
+    ("0 days", "0 days"), ("-1 microsecond", "1 microsecond"), ("-1 month", "-27 days"), ("-1 week", "-2 days 12 hours")])
 def test_lookup_between_equals_brute_force(data, low, high):
     left, right, ldf, rdf = data
-    lo, hi = (timedelta(minutes=T._minutes(x)) for x in (low, high))
     got = answers(T.lookup_between(ldf, rdf, "k", F.col("t"), low, high, F.col("rt"), folds()))
-    assert got == brute(left, right, lambda r, t: t + lo <= r <= t + hi)
+    assert got == brute(left, right, lambda r, t: shifted(t, low) <= r <= shifted(t, high))
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+@pytest.mark.parametrize("low,high", [("-18 months", "0 days"), ("-1 month", "1 month"), ("-2 years", "-1 month 3 days")])
+def test_windows_of_months_equal_brute_force(spark, low, high, kind):
+    """Month ends, leap days, and moments before 1970."""
+    rng = random.Random(5)
+    moment = lambda: datetime(1968, 1, 1) + timedelta(days=rng.randrange(1500), hours=rng.choice([0, 0, 7]))
+    left = [(i, rng.choice([1, 1, 2]), moment()) for i in range(120)]
+    right = [(i, rng.choice([1, 1, 2]), moment(), "ab"[i % 2], i % 5) for i in range(300)]
+    ldf, rdf = (spark.createDataFrame(x, y).withColumn(c, F.col(c).cast(kind))
+                for x, y, c in ((left, LEFT, "t"), (right, RIGHT, "rt")))
+    got = answers(T.lookup_between(ldf, rdf, "k", F.col("t"), low, high, F.col("rt"), folds()))
+    assert got == brute(left, right, lambda r, t: shifted(t, low) <= r <= shifted(t, high))
 
 
-def test_window_shorter_than_two_hours_is_refused(data):
-    with pytest.raises(ValueError):
-        T.lookup_between(data[2], data[3], "k", F.col("t"), "-1 hours", "0 minutes", F.col("rt"), folds())
+def test_window_that_may_end_before_it_begins_is_refused(data):
+    for low, high in (("1 hours", "0 minutes"), ("-27 days", "-1 month")):
+        with pytest.raises(ValueError):
+            T.lookup_between(data[2], data[3], "k", F.col("t"), low, high, F.col("rt"), folds())
 
 
 def test_lookup_over_ids_and_dates(spark):
