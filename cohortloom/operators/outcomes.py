@@ -16,10 +16,8 @@ from cohortloom.operators.temporal import (
     count_where,
     first_event_within,
     first_per_key,
-    first_with_ties,
-    lookup,
-    total,
 )
+from cohortloom.sources.stages import stage
 
 BUSINESS_DAYS = 5
 SETTLED_DAYS = 90
@@ -230,83 +228,95 @@ def statement_performance(
         "statement_initial_default_flag")
 
 
-def withdrawal_stats(base: DataFrame, cash_flow: DataFrame, as_of: Column | date) -> DataFrame:
-    """Amount and number of withdrawals within 1, 3, 6 and 12 months and in all,
-    and the cash booked up to and with the first withdrawal.
+WITHDRAWN = ("total_withdrawn_3m", "total_withdrawn_6m", "total_withdrawn_12m", "total_withdrawn")
+WITHDRAWS = ("total_withdraws_3m", "total_withdraws_6m", "total_withdraws_12m", "total_withdraws_1m", "total_withdraws")
+SURVIVAL = ("last_activity", "time_alive", "censored")
+PAYBACK = ("in_money", "out_money", "full_payback_first_payment")
+
 
-    ``base`` needs loan_id and funding_date_actual.
+def cash_flow_outcomes(
+    base: DataFrame, cash_flow: DataFrame, as_of: Column | date, active_months: int = 3
+) -> DataFrame:
+    """What the cash flow says of each loan, from one scan of it:
+
+    - amount and number of withdrawals within 1, 3, 6 and 12 months and in all, and the cash
+      booked up to and with the first withdrawal;
+    - the last activity up to ``as_of``, days from funding to it, and whether the loan is still
+      active. Missing types and statuses count as activity;
+    - the first withdrawal against the first payment. All rows tied at the lowest id count, and
+      each tied payment counts once per tied withdrawal (and the reverse), as a join of the
+      two would have it; the products below give that without making the pairs.
+
+    ``base`` needs loan_id, one row each, and funding_date_actual. Rows of its loans fold to (loan,
+    id) and are staged; a row without an id is never the first. So a loan with very many rows is
+    folded by many tasks before its sums meet.
     """
     as_of = F.lit(as_of)
-    out = cash_flow.where(
-        (F.col("sub_type_cd") == codes.PRINCIPAL_OUT)
-        & (F.col("status_cd").isNull() | ~F.col("status_cd").isin(*codes.RETURNED_STATUSES)))
-    # Fold each loan to its days before the join.
-    daily = out.groupBy(F.col("loan_id").alias("__l"), "eff_date").agg(
-        F.sum(-F.col("total_amount")).alias("__amount"), F.count(F.lit(1)).alias("__n"))
-    joined = base.select("loan_id", "funding_date_actual").join(daily, F.col("loan_id") == F.col("__l"))
-    start, day = F.col("funding_date_actual"), F.col("eff_date")
-
-    def within(months: int) -> Column:
-        return day.between(start, F.add_months(start, months))
-
-    amount, n = F.col("__amount"), F.col("__n")
-    sums = {
-        "total_withdrawn_3m": F.when(within(3), amount), "total_withdrawn_6m": F.when(within(6), amount),
-        "total_withdrawn_12m": F.when(within(12), amount), "total_withdrawn": amount,
-        "total_withdraws_3m": F.when(within(3), n), "total_withdraws_6m": F.when(within(6), n),
-        "total_withdraws_12m": F.when(within(12), n), "total_withdraws_1m": F.when(within(1), n),
-        "total_withdraws": F.when(day.between(start, as_of), n),
-    }
-    stats = joined.groupBy(F.col("loan_id").alias("__l")).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
-
-    strict = out.where(F.col("status_cd").isNotNull())
-    first = strict.groupBy(F.col("loan_id").alias("__f")).agg(F.min("loan_task_committed_id").alias("__first"))
-    with_first = base.join(first, base["loan_id"] == first["__f"], "left").drop("__f")
-    with_first = lookup(with_first, cash_flow, "loan_id", F.col("__first"), F.col("loan_task_committed_id"),
-                        [total("first_withdraw_amount", -F.col("total_amount"))], "until").drop("__first")
-    names = [*sums, "first_withdraw_amount"]
-    return with_first.join(stats, with_first["loan_id"] == stats["__l"], "left").select(
-        *base.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
+    rows = cash_flow.join(
+        base.select(F.col("loan_id").alias("__l"), F.col("funding_date_actual").alias("__start")),
+        F.col("loan_id") == F.col("__l"))
+    kind, status, day, start = F.col("sub_type_cd"), F.col("status_cd"), F.col("eff_date"), F.col("__start")
+    valid = ~status.isin(*codes.RETURNED_STATUSES)
+    kept = status.isNull() | valid
+    out = (kind == codes.PRINCIPAL_OUT) & kept
+    active = (day <= as_of) & (kind.isNull() | kind.isin(*codes.ACTIVITY_TYPES)) & kept
+
+    def until(name: str) -> Column:
+        months = name.rsplit("_", 1)[-1]
+        return F.add_months(start, int(months[:-1])) if months[0].isdigit() else as_of
+
+    amount = -F.col("total_amount")
+    sums = {n: F.sum(F.when(out & day.between(start, until(n)), amount)) for n in WITHDRAWN[:-1]}
+    sums |= {"total_withdrawn": F.sum(F.when(out, amount))}
+    sums |= {n: F.count_if(out & day.between(start, until(n))) for n in WITHDRAWS}
+    first = {}
+    for tag, code in (("o", codes.PRINCIPAL_OUT), ("p", codes.PAYMENT)):
+        first[f"__{tag}_n"] = F.count_if(valid & (kind == code))
+        first[f"__{tag}_sum"] = F.sum(F.when(valid & (kind == code), F.abs("total_amount")))
+    by_task = stage(
+        rows.groupBy("__l", F.col("loan_task_committed_id").alias("__task")).agg(
+            *[c.alias(n) for n, c in (sums | first).items()], F.max(F.when(active, day)).alias("last_activity"),
+            F.sum(amount).alias("__booked")),
+        "cash-by-task")
+
+    def lowest(tag: str) -> Column:
+        has = F.col("__task").isNotNull() & (F.col(f"__{tag}_n") > 0)
+        return F.min(F.when(has, F.struct("__task", f"__{tag}_n", f"__{tag}_sum"))).alias(f"__{tag}")
+
+    by_loan = by_task.groupBy("__l").agg(
+        *[F.sum(n).alias(n) for n in sums], F.max("last_activity").alias("last_activity"), lowest("o"), lowest("p"))
+    begun = by_task.where("__o_n > 0").groupBy(F.col("__l").alias("__f")).agg(F.min("__task").alias("__first"))
+    booked = by_task.join(begun, (F.col("__l") == F.col("__f")) & (F.col("__task") <= F.col("__first"))).groupBy("__f").agg(
+        F.sum("__booked").alias("first_withdraw_amount"))
+
+    in_money = F.col("__p.__p_sum") * F.coalesce("__o.__o_n", F.lit(1))
+    out_money = F.col("__o.__o_sum") * F.coalesce("__p.__p_n", F.lit(1))
+    found = base.join(by_loan, base["loan_id"] == by_loan["__l"], "left").join(
+        booked, base["loan_id"] == booked["__f"], "left")
+    return found.select(
+        *base.columns,
+        *[F.coalesce(n, F.lit(0)).alias(n) for n in (*WITHDRAWN, *WITHDRAWS, "first_withdraw_amount")],
+        "last_activity", F.datediff("last_activity", "funding_date_actual").alias("time_alive"),
+        S.flag(F.col("last_activity") > F.add_months(as_of, -active_months)).alias("censored"),
+        in_money.alias("in_money"), out_money.alias("out_money"),
+        S.flag(in_money >= out_money).alias("full_payback_first_payment"))
+
+
+def withdrawal_stats(base: DataFrame, cash_flow: DataFrame, as_of: Column | date) -> DataFrame:
+    """The withdrawals of ``cash_flow_outcomes``."""
+    found = cash_flow_outcomes(base, cash_flow, as_of)
+    return found.select(*base.columns, *WITHDRAWN, *WITHDRAWS, "first_withdraw_amount")
 
 
 def survival_stats(base: DataFrame, cash_flow: DataFrame, as_of: Column | date, active_months: int = 3) -> DataFrame:
-    """Last activity up to ``as_of``, days from funding to it, and whether the
-    loan is still active. Missing types and statuses count as activity."""
-    as_of = F.lit(as_of)
-    active = cash_flow.where(
-        (F.col("eff_date") <= as_of)
-        & (F.col("sub_type_cd").isNull() | F.col("sub_type_cd").isin(*codes.ACTIVITY_TYPES))
-        & (F.col("status_cd").isNull() | ~F.col("status_cd").isin(*codes.RETURNED_STATUSES)))
-    last = active.groupBy(F.col("loan_id").alias("__l")).agg(F.max("eff_date").alias("last_activity"))
-    return base.join(last, base["loan_id"] == last["__l"], "left").select(
-        *base.columns, "last_activity",
-        F.datediff("last_activity", "funding_date_actual").alias("time_alive"),
-        S.flag(F.col("last_activity") > F.add_months(as_of, -active_months)).alias("censored"))
+    """The activity of ``cash_flow_outcomes``."""
+    return cash_flow_outcomes(base, cash_flow, as_of, active_months).select(*base.columns, *SURVIVAL)
 
 
 def first_payback(base: DataFrame, cash_flow: DataFrame) -> DataFrame:
-    """First withdrawal against first payment.
-
-    All rows tied at the lowest id count, and each tied payment counts once per
-    tied withdrawal (and the reverse), as a join of the two would have it; the
-    products below give that without making the pairs.
-    """
-    valid = cash_flow.where(~F.col("status_cd").isin(*codes.RETURNED_STATUSES))
-
-    def first(kind: str, tag: str) -> DataFrame:
-        ties = first_with_ties(valid.where(F.col("sub_type_cd") == kind), ["loan_id"], "loan_task_committed_id",
-                               {"amount": F.abs("total_amount")})
-        return ties.select(F.col("loan_id").alias(f"__{tag}"), F.col("n").alias(f"__{tag}_n"),
-                           F.col("amount").alias(f"__{tag}_sum"))
-
-    out, paid = first(codes.PRINCIPAL_OUT, "o"), first(codes.PAYMENT, "p")
-    in_money = F.col("__p_sum") * F.coalesce("__o_n", F.lit(1))
-    out_money = F.col("__o_sum") * F.coalesce("__p_n", F.lit(1))
-    return (
-        base.join(out, base["loan_id"] == out["__o"], "left").join(paid, base["loan_id"] == paid["__p"], "left")
-        .select(*base.columns, in_money.alias("in_money"), out_money.alias("out_money"),
-                S.flag(in_money >= out_money).alias("full_payback_first_payment"))
-    )
+    """The first withdrawal against the first payment, of ``cash_flow_outcomes``."""
+    no_day = F.lit(None).cast("date")
+    return cash_flow_outcomes(base, cash_flow, no_day).select(*base.columns, *PAYBACK)
 
 
 def payback_ratio(base: DataFrame, statements: DataFrame, months: int = 3) -> DataFrame:

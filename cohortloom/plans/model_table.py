@@ -198,9 +198,7 @@ def installment_loan_performance(base: DataFrame, sources, as_of: date) -> list[
 def line_of_credit_performance(base: DataFrame, sources, as_of: date) -> list[DataFrame]:
     return [
         O.statement_performance(base, sources["statements"], sources["payment_transactions"], as_of),
-        O.withdrawal_stats(base, sources["cash_flow"], as_of),
-        O.survival_stats(base, sources["cash_flow"], as_of),
-        O.first_payback(base, sources["cash_flow"]),
+        O.cash_flow_outcomes(base, sources["cash_flow"], as_of),
         O.payback_ratio(base, sources["statement_performance"]),
     ]
 

@@ -237,6 +237,18 @@ def test_withdrawals_survival_payback(spark):
     assert p == {1: (D(30), D(100), 0), 2: (D(80), D(30), 1), 3: (None, None, 0)}  # two tied withdrawals count the payment twice
 
 
+def test_cash_flow_is_read_once(spark, tmp_path):
+    """The result reads the staged folds alone, and a row without an id counts but is never the first."""
+    start, path = date(2019, 1, 31), str(tmp_path / "flows")
+    base = spark.createDataFrame([(1, start)], "loan_id long, funding_date_actual date")
+    spark.createDataFrame([flow(None, 1, start, "principal_out", "ach", -7), flow(4, 1, start, "principal_out", "ach", -5),
+                           flow(9, 1, start, "payment", "ach", 3)], FLOW).write.parquet(path)
+    got = O.cash_flow_outcomes(base, spark.read.parquet(path), AS_OF)
+    assert got.inputFiles() and not [f for f in got.inputFiles() if path in f]
+    r = got.first()
+    assert (r.total_withdrawn, r.total_withdraws, r.first_withdraw_amount, r.in_money, r.out_money) == (D(12), 2, D(5), D(3), D(5))
+
+
 def test_statement_performance_last_business_day(spark):
     due = date(2019, 3, 1)  # a Friday; five business days end on the 8th
     statements = spark.createDataFrame([(1, 1, due, None, D(1), D(0), D(0)), (2, 2, due, None, D(0), D(0), D(0)), (3, 3, due, AS_OF, D(1), D(0), D(0))],
