@@ -235,7 +235,7 @@ PAYBACK = ("in_money", "out_money", "full_payback_first_payment")
 
 
 def cash_flow_outcomes(
-    base: DataFrame, cash_flow: DataFrame, as_of: Column | date, active_months: int = 3
+    base: DataFrame, cash_flow: DataFrame, as_of: Column | date, active_months: int = 3, booked_cash: bool = True
 ) -> DataFrame:
     """What the cash flow says of each loan, from one scan of it:
 
@@ -248,8 +248,9 @@ def cash_flow_outcomes(
       two would have it; the products below give that without making the pairs.
 
     ``base`` needs loan_id, one row each, and funding_date_actual. Rows of its loans fold to (loan,
-    id) and are staged; a row without an id is never the first. So a loan with very many rows is
-    folded by many tasks before its sums meet.
+    id), so a loan with very many rows is folded by many tasks before its sums meet; a row without
+    an id is never the first. The cash up to the first withdrawal needs these folds twice, so they are
+    staged; without ``booked_cash`` that column is left out and nothing is staged.
     """
     as_of = F.lit(as_of)
     rows = cash_flow.join(
@@ -273,11 +274,11 @@ def cash_flow_outcomes(
     for tag, code in (("o", codes.PRINCIPAL_OUT), ("p", codes.PAYMENT)):
         first[f"__{tag}_n"] = F.count_if(valid & (kind == code))
         first[f"__{tag}_sum"] = F.sum(F.when(valid & (kind == code), F.abs("total_amount")))
-    by_task = stage(
-        rows.groupBy("__l", F.col("loan_task_committed_id").alias("__task")).agg(
-            *[c.alias(n) for n, c in (sums | first).items()], F.max(F.when(active, day)).alias("last_activity"),
-            F.sum(amount).alias("__booked")),
-        "cash-by-task")
+    by_task = rows.groupBy("__l", F.col("loan_task_committed_id").alias("__task")).agg(
+        *[c.alias(n) for n, c in (sums | first).items()], F.max(F.when(active, day)).alias("last_activity"),
+        F.sum(amount).alias("__booked"))
+    if booked_cash:
+        by_task = stage(by_task, "cash-by-task")
 
     def lowest(tag: str) -> Column:
         has = F.col("__task").isNotNull() & (F.col(f"__{tag}_n") > 0)
@@ -285,17 +286,18 @@ def cash_flow_outcomes(
 
     by_loan = by_task.groupBy("__l").agg(
         *[F.sum(n).alias(n) for n in sums], F.max("last_activity").alias("last_activity"), lowest("o"), lowest("p"))
-    begun = by_task.where("__o_n > 0").groupBy(F.col("__l").alias("__f")).agg(F.min("__task").alias("__first"))
-    booked = by_task.join(begun, (F.col("__l") == F.col("__f")) & (F.col("__task") <= F.col("__first"))).groupBy("__f").agg(
-        F.sum("__booked").alias("first_withdraw_amount"))
+    found, counted = base.join(by_loan, base["loan_id"] == by_loan["__l"], "left"), [*WITHDRAWN, *WITHDRAWS]
+    if booked_cash:
+        begun = by_task.where("__o_n > 0").groupBy(F.col("__l").alias("__f")).agg(F.min("__task").alias("__first"))
+        upto = (F.col("__l") == F.col("__f")) & (F.col("__task") <= F.col("__first"))
+        booked = by_task.join(begun, upto).groupBy("__f").agg(F.sum("__booked").alias("first_withdraw_amount"))
+        found = found.join(booked, base["loan_id"] == booked["__f"], "left")
+        counted.append("first_withdraw_amount")
 
     in_money = F.col("__p.__p_sum") * F.coalesce("__o.__o_n", F.lit(1))
     out_money = F.col("__o.__o_sum") * F.coalesce("__p.__p_n", F.lit(1))
-    found = base.join(by_loan, base["loan_id"] == by_loan["__l"], "left").join(
-        booked, base["loan_id"] == booked["__f"], "left")
     return found.select(
-        *base.columns,
-        *[F.coalesce(n, F.lit(0)).alias(n) for n in (*WITHDRAWN, *WITHDRAWS, "first_withdraw_amount")],
+        *base.columns, *[F.coalesce(n, F.lit(0)).alias(n) for n in counted],
         "last_activity", F.datediff("last_activity", "funding_date_actual").alias("time_alive"),
         S.flag(F.col("last_activity") > F.add_months(as_of, -active_months)).alias("censored"),
         in_money.alias("in_money"), out_money.alias("out_money"),
@@ -310,13 +312,13 @@ def withdrawal_stats(base: DataFrame, cash_flow: DataFrame, as_of: Column | date
 
 def survival_stats(base: DataFrame, cash_flow: DataFrame, as_of: Column | date, active_months: int = 3) -> DataFrame:
     """The activity of ``cash_flow_outcomes``."""
-    return cash_flow_outcomes(base, cash_flow, as_of, active_months).select(*base.columns, *SURVIVAL)
+    return cash_flow_outcomes(base, cash_flow, as_of, active_months, booked_cash=False).select(*base.columns, *SURVIVAL)
 
 
 def first_payback(base: DataFrame, cash_flow: DataFrame) -> DataFrame:
     """The first withdrawal against the first payment, of ``cash_flow_outcomes``."""
     no_day = F.lit(None).cast("date")
-    return cash_flow_outcomes(base, cash_flow, no_day).select(*base.columns, *PAYBACK)
+    return cash_flow_outcomes(base, cash_flow, no_day, booked_cash=False).select(*base.columns, *PAYBACK)
 
 
 def payback_ratio(base: DataFrame, statements: DataFrame, months: int = 3) -> DataFrame:
