@@ -13,6 +13,7 @@ from cohortloom.operators import leads as L
 from cohortloom.operators import outcomes as O
 from cohortloom.operators import rates as R
 from cohortloom.operators.quality import drift_report, expect_one
+from cohortloom.session import configure
 
 D = Decimal
 AS_OF = date(2020, 1, 1)
@@ -326,3 +327,10 @@ def test_cashout_and_net_cash(spark):
     assert (got[1].total_cash_in, got[1].net_cash, got[1].net_fees, got[1].row_count) == (D(0), D(-100), None, 2)
     assert (got[2].total_cash_in, got[2].net_cash, got[2].net_fees, got[2].row_count) == (D(90), D(-60), -10.0, 3)
     assert (got[3].total_cash_in, got[3].is_broken, got[3].row_count, got[3].entry_amount) == (D(90), True, 3, D(97))
+
+
+def test_session_begins_with_many_partitions(spark):
+    """A fixed small number of partitions made the task that folds the cash flow grow with the input."""
+    session = configure(spark)
+    assert int(session.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 200
+    assert session.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
