@@ -329,6 +329,36 @@ def test_cashout_and_net_cash(spark):
     assert (got[3].total_cash_in, got[3].is_broken, got[3].row_count, got[3].entry_amount) == (D(90), True, 3, D(97))
 
 
+def test_merge_curves_repeats_and_folded_fees(spark):
+    early, late = date(2013, 12, 31), date(2014, 1, 1)
+    # Month 1 of customer 1 occurs twice, month 2 has no partner; a customer without a key stands alone.
+    first = spark.createDataFrame([(1, 10, AS_OF, 1, D(5)), (1, 11, AS_OF, 1, D(6)), (1, 10, AS_OF, 2, D(7)), (None, 30, AS_OF, 1, D(8))],
+                                  "customer_id long, first_funded_loan_id long, first_funding_date_actual date, month_calculated int, net_fees decimal(18,2)")
+    kind = ("customer_id long, account_id long, second_first_funded_loan_id long, second_first_funding date, "
+            "true_first_funding date, state string, mon int, net_fees decimal(18,2)")
+    second = spark.createDataFrame(
+        [(1, 7, 70, early, early, "OH", 1, D(0)), (1, 7, 70, early, early, "OH", 1, None), (1, 8, 80, late, late, "OH", 3, D(2)),
+         (1, 9, 90, early, early, "OH", 4, D(3))], kind)
+    want = [(1, 7, 10, 1, D(5)), (1, 7, 11, 1, D(6)), (1, 8, None, 3, D(2)), (1, None, 10, 2, D(7)), (None, None, 30, 1, D(8))]
+    names = ("customer_id", "account_id", "first_funded_loan_id", "month_calculated", "net_fees")
+    folded = second.groupBy(*second.columns[:6]).agg(F.collect_list(F.struct("mon", "net_fees")).alias("by_month"))
+    for form in (second, folded, folded.union(folded)):
+        assert rows(C.merge_curves(first, form, late), *names) == sorted(want, key=repr)
+
+
+def test_merge_curves_moves_no_month_rows(spark):
+    """Month rows are made after the last shuffle, and equal ones are found without dealing them out."""
+    first = spark.createDataFrame([(1, 10, AS_OF, m, D(5)) for m in range(1, 4)],
+                                  "customer_id long, first_funded_loan_id long, first_funding_date_actual date, month_calculated int, net_fees decimal(18,2)")
+    second = spark.createDataFrame([(1, m, 7, 70, AS_OF, AS_OF, "OH", D(2)) for m in range(1, 6)],
+                                   "customer_id long, mon int, account_id long, second_first_funded_loan_id long, second_first_funding date, "
+                                   "true_first_funding date, state string, net_fees decimal(18,2)")
+    got = C.merge_curves(first, second, AS_OF)
+    plan = got._jdf.queryExecution().explainString(got.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "Generate inline" in plan and "Exchange" not in plan.split("Generate inline")[0]
+    assert got.count() == 5
+
+
 def test_session_begins_with_many_partitions(spark):
     """A fixed small number of partitions made the task that folds the cash flow grow with the input."""
     session = configure(spark)
