@@ -56,14 +56,16 @@ class Product:
 
 
 # --- stage 1: spine ----------------------------------------------------------
-def _with_approval(product: Product, sources, since: date, as_of: date) -> DataFrame:
-    """Cohort loans with the latest earlier approval of a new customer."""
+def _with_approval(product: Product, sources, since: date, as_of: date, keep=no_stage) -> DataFrame:
+    """Cohort loans with the latest earlier approval of a new customer. The lookup reads the cohort
+    twice, to count and to fold, so it is kept."""
     loans = sources["loans"]
     cohort = K.first_time_cohort(loans, product.loan_type, since, as_of, product.maturity(sources))
     base = loans.join(cohort.select("loan_id"), F.col("id") == F.col("loan_id"), "left_semi").select(
         F.col("id").alias("loan_id"), "customer_id", "requested_time", "funding_date_actual", *product.loan_columns,
         F.col("amount").alias("loan_amount"), F.col("status_cd").alias("loan_status"),
         F.col("gov_law_state_cd").alias("state"))
+    base = keep(base, "cohort")
     found = lookup(base, sources["approvals"], "customer_id", F.col("requested_time"), F.col("processed_on"),
                    [pick_max("a", "id", APPROVAL_COLUMNS)], "before").where(~F.col("a.existing_flg"))
     pre_approved = (F.col("a.profitability_rate") == 1) | (F.col("a.reason_cd") == "pre-approved") | F.col("a.pre_approved_flg")
@@ -79,7 +81,7 @@ def build_spine(
     product: Product, sources, since: date, as_of: date, keep=no_stage
 ) -> DataFrame:
     """Cohort loans with what was known at application: one row per loan."""
-    base = keep(_with_approval(product, sources, since, as_of), "approved")
+    base = keep(_with_approval(product, sources, since, as_of, keep), "approved")
     application = sources["applications"].groupBy(F.col("loan_id").alias("__al")).agg(
         F.max("application_id").alias("application_id"))
     customer = [F.col("id").alias("__known"), F.col("person_id"), F.col("created_on").alias("customer_created")]

@@ -359,6 +359,53 @@ def test_merge_curves_moves_no_month_rows(spark):
     assert got.count() == 5
 
 
+def test_merge_curves_works_out_nothing_again_for_each_month(spark):
+    """Spark moved the search for repeated months into the lambda that runs per month, and made all rows
+    anew in a filter before the generator."""
+    kind = "customer_id long, first_funded_loan_id long, first_funding_date_actual date, month_calculated int, net_fees decimal(18,2)"
+    # Customer 1 has a month missing, customer 2 none, customer 3 no account.
+    first = spark.createDataFrame([(c, 10 * c, AS_OF, m, D(m)) for c, months in ((1, (2, 4)), (2, (2, 3)), (3, (1,))) for m in months], kind)
+    second = spark.createDataFrame(
+        [(c, m, c + 6, 70, AS_OF, day, "OH", D(2)) for c, day in ((1, date(2013, 12, 31)), (2, AS_OF)) for m in range(1, 5)],
+        "customer_id long, mon int, account_id long, second_first_funded_loan_id long, second_first_funding date, "
+        "true_first_funding date, state string, net_fees decimal(18,2)")
+    got = C.merge_curves(first, second, date(2014, 1, 1))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "array_distinct" in line and "lambdafunction" in line]
+    assert rows(got, "customer_id", "month_calculated", "first_funded_loan_id", "net_fees") == [
+        (1, 2, 10, D(4)), (1, 4, 10, D(6)), (2, 1, None, D(2)), (2, 2, 20, D(4)), (2, 3, 20, D(5)), (2, 4, None, D(2)), (3, 1, 30, D(1))]
+
+
+def test_status_switch_keeps_what_two_passes_read(spark):
+    curve = spark.createDataFrame([(1, 10, AS_OF, 1, AS_OF, D(5), D(3))],
+                                  "customer_id long, first_funded_loan_id long, first_funding_date_actual date, month_calculated int, "
+                                  "calc_date date, net_fees_final_status decimal(18,2), net_fees_in_flight decimal(18,2)")
+    loans = spark.createDataFrame([(10, 1, "issued", AS_OF)], "id long, customer_id long, status_cd string, funding_date_actual date")
+    statuses = spark.createDataFrame([(1, 10, "issued", AS_OF)], "id long, loan_id long, status_cd string, eff_start_time date")
+    kept = []
+    got = C.status_switched_fees(curve, loans, statuses, keep=lambda df, name: kept.append(name) or df)
+    assert kept == ["curve-loans"] and rows(got, "loan_id", "net_fees") == [(10, D(3))]
+
+
+def test_model_table_writes_views_that_steps_share(spark, monkeypatch):
+    """Each step grouped or joined the whole driver tables of its view anew."""
+    from cohortloom.plans import model_table
+    from cohortloom.sources.catalog import Catalog
+    from registry import queries
+
+    staged = []
+    monkeypatch.setattr(queries, "stage", lambda df, name: staged.append(name) or df)
+    monkeypatch.setattr(queries, "_fee_mart", lambda s: None)
+    monkeypatch.setattr(queries, "_OUTCOME_BUILDERS", dict.fromkeys(queries._OUTCOME_BUILDERS, lambda *a, **k: None))
+    monkeypatch.setattr(model_table, "build_model_table", lambda p, s, since, as_of: None)
+    monkeypatch.setattr(queries, "catalog", lambda spark, folder: Catalog(dict.fromkeys(("loans", "installments", "statements"), spark.range(1))))
+    for product, views in (("payday", ["loans"]), ("cso", ["loans"]), ("installment", ["loans", "installments"]),
+                           ("line_of_credit", ["loans", "statements"])):
+        staged.clear()
+        queries._model_table(spark, "unread", product)
+        assert staged[:len(views)] == views
+
+
 def test_session_begins_with_many_partitions(spark):
     """A fixed small number of partitions made the task that folds the cash flow grow with the input."""
     session = configure(spark)
