@@ -1,7 +1,10 @@
 """Edge cases, brute force and round trips of the corpus operators on small tables."""
 
+import contextlib
 import math
+import os
 import re
+import threading
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.llm import pii
+from cohortloom.llm import epsilon_grid, pii
 from cohortloom.llm.attribution import count_section_tokens
 from cohortloom.llm.bytepair import BytePairEncoder
 from cohortloom.llm.chat import escape, format_conversations, read_back, unescape
@@ -221,6 +224,58 @@ def test_vectors(spark):
     assert link_vectors(table.limit(0)).count() == 0
 
 
+def test_tiles_of_vectors_move_in_rounds(spark, monkeypatch):
+    """Where no box keeps tiles apart, what lies on disk follows the input and not the pairs of tiles."""
+    monkeypatch.setattr(epsilon_grid, "ROUND_BYTES", 0, raising=False)
+    random = np.random.default_rng(5)
+    x = (random.normal(size=(4000, 64)) / 8).repeat(3, axis=0)
+    x = (x + 0.0287 * random.normal(size=x.shape)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(20000 + i, x[i, :40].tolist()) for i in range(90)]
+    rows += [(30000 + i, rows[i][1]) for i in range(5)]
+    links, group = np.zeros(len(rows), dtype=int), np.array([i for i, _ in rows])
+    by_dim = [np.array([k for k, (_, v) in enumerate(rows) if len(v) == n]) for n in (64, 40)]
+    pairs = []
+    for at in by_dim:
+        u = np.array([rows[k][1] for k in at], dtype=np.float64)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        near = np.argwhere(u @ u.T >= 0.95)
+        pairs.append(at[near[near[:, 0] != near[:, 1]]])
+    i, j = np.concatenate(pairs).T
+    np.add.at(links, i, 1)
+    for _ in range(20):
+        np.minimum.at(group, i, group[j])
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def shuffled():
+        total = 0
+        for top in folders:
+            for folder, _, names in os.walk(top):
+                for name in names:
+                    if name.startswith("shuffle_"):
+                        with contextlib.suppress(OSError):
+                            total += os.stat(f"{folder}/{name}").st_size
+        return total
+
+    importable(spark)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    before, most, over = shuffled(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            most[0] = max(most[0], shuffled() - before)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        linked = link_vectors(table)
+    finally:
+        over.set()
+        watcher.join()
+    assert most[0] < 4 * x.nbytes
+    found = Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in linked.collect())
+    assert found == Counter((i, n, g) for (i, _), n, g in zip(rows, links.tolist(), group.tolist()))
+
+
 def test_context_tree(spark):
     texts = [(i, sentence(i % 7, 6)) for i in range(30)] + [(31, None), (32, "Ab é")]
     got = {r["doc_id"]: r for r in score_documents(docs_of(spark, texts), chunk_bytes=300).collect()}
